@@ -13,7 +13,8 @@ similarity of at least ``threshold``.
    holds no shared gram is dropped here: it has no partner.
 4. Documents with an identical prefix and size form one group. Groups are joined on
    the grams of their prefixes, with the size and position filters.
-5. Group pairs are expanded to their distinct sets, and those are verified in full.
+5. Group pairs are expanded to their distinct sets, and those are verified in full, in
+   blocks, so that a set travels once for many of its pairs.
 
 The result is the join in factored form: documents with the same set of grams stand
 together in one list, so thousands of copies make one row and not millions.
@@ -43,7 +44,7 @@ from webloom.llm import textvec
 from webloom.session import cut
 
 BITS = 48
-FLUSH_GRAMS, FLUSH_DOCS = 2_000_000, 60_000
+FLUSH_GRAMS, FLUSH_DOCS, BLOCK = 2_000_000, 60_000, 256
 _SENT = "r int, flush long, kind int, body binary"
 _SENT_ARROW = pa.schema([("r", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 _SETS = "doc_id long, n int, shared int, k int, prefix binary, fp long, grams array<long>"
@@ -198,10 +199,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> DataFr
     cb = classes.select(F.col("g").alias("gb"), F.col("c").alias("b"))
     across = groups.join(ca, "ga").join(cb, "gb").select("a", "b")
     inside = ca.join(cb, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b"))).select("a", "b")
-    sa = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("grams").alias("sa"))
-    sb = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    pairs = across.union(inside).join(sa, "a").join(sb, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    pairs = _verified(cut(across.union(inside), "jaccard-pairs"), sets.select("doc_id", "n", "grams"), threshold)
     ma = classes.select(F.col("c").alias("a"), F.col("members").alias("docs_a"))
     mb = classes.select(F.col("c").alias("b"), F.col("members").alias("docs_b"))
     lists = pairs.join(ma, "a").join(mb, "b").select("docs_a", "docs_b", "jaccard")
@@ -209,6 +207,54 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> DataFr
     return lists.select(F.when(F.col("docs_a")[0] < F.col("docs_b")[0], F.struct("docs_a", "docs_b")).otherwise(F.struct(F.col("docs_b").alias("docs_a"), F.col("docs_a").alias("docs_b"))).alias("p"), "jaccard").select("p.*", "jaccard").union(copies)
 
 
+_PAIRS = "a long, b long, jaccard double"
+_PAIRS_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+
+
+def _verify(threshold: float):
+    """Exact similarities of the pairs of one block; few grams in all go by one matrix product."""
+
+    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        ids = sets.column("doc_id").to_numpy()
+        order = np.argsort(ids)
+        n = sets.column("n").to_numpy()
+        grams = sets.column("grams").combine_chunks()
+        off, values = grams.offsets.to_numpy(), grams.values.to_numpy()
+        ia, ib = (order[np.searchsorted(ids, x, sorter=order)] for x in (a, b))
+        different, place = np.unique(values[off[0] : off[-1]], return_inverse=True)
+        if len(ids) * len(different) <= 1 << 24 and len(a) > 2 * len(ids):
+            has = np.zeros((len(ids), len(different)), np.float32)
+            has[np.repeat(np.arange(len(ids)), np.diff(off)), place] = 1
+            both = (has @ has.T)[ia, ib].astype(np.int64)
+        else:
+            lists = [set(values[i:j].tolist()) for i, j in zip(off[:-1], off[1:])]
+            both = np.array([len(lists[i] & lists[j]) for i, j in zip(ia, ib)], np.int64)
+        jaccard = both / (n[ia].astype(np.int64) + n[ib] - both)
+        ok = jaccard >= threshold
+        return pa.Table.from_arrays([pa.array(x[ok]) for x in (a, b, jaccard)], schema=_PAIRS_ARROW)
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are similar enough, with their similarity.
+
+    Sets don't travel once per pair. Documents are put into blocks of about ``BLOCK`` that
+    have the same smallest partner, and a set travels once to each pair of blocks that has
+    a pair with it: once for most documents, and k / BLOCK times in a cluster of k.
+    """
+    links = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    lead = links.groupBy("doc_id").agg(F.least("doc_id", F.min("other")).alias("lead"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("lead")) / BLOCK)
+    block = cut(lead.select("doc_id", F.xxhash64("lead", F.pmod(F.xxhash64("doc_id"), parts)).alias("block")), "jaccard-blocks")
+    ba = block.select(F.col("doc_id").alias("a"), F.col("block").alias("x"))
+    bb = block.select(F.col("doc_id").alias("b"), F.col("block").alias("y"))
+    placed = cut(pairs.join(ba, "a").join(bb, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "jaccard-placed")
+    sent = placed.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
+    return placed.groupBy("x", "y").cogroup(sent.groupBy("p", "q")).applyInArrow(_verify(threshold), _PAIRS)
+
+
 def pairs_of(joined: DataFrame) -> DataFrame:
     """Single pairs (doc_a < doc_b, jaccard) from the factored result."""
     x = joined.select("jaccard", F.explode("docs_a").alias("x"), "docs_b").select("jaccard", "x", F.explode("docs_b").alias("y")).where("x != y")

@@ -98,8 +98,11 @@ def _pieces(b: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and for each text the offset of its first (one more at the end)."""
+def words(texts: pa.Array, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and for each text the offset of its first (one more at the end).
+
+    With ``punctuation``, runs of separators other than blanks are words too.
+    """
     b, off = raw(texts)
     hashes, counts = [], np.zeros(len(off) - 1, np.int64)
     for lo, hi in _pieces(b, off):
@@ -112,12 +115,14 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         cut[off[k0:k1] - lo] = True
         cut[0] = cut[n] = True
         word = ~sep
-        before = np.empty(n, bool)
-        before[0], before[1:] = True, sep[:-1]
-        start = np.flatnonzero(word & (before | cut[:n]))
-        after = np.empty(n, bool)
-        after[-1], after[:-1] = True, sep[1:]
-        stop = np.flatnonzero(word & (after | cut[1:])) + 1
+        if punctuation:
+            other = np.r_[word[1:] != word[:-1], True] | np.r_[(c[1:] <= 32) != (c[:-1] <= 32), True]
+            word = c > 32
+        else:
+            other = np.r_[word[1:] != word[:-1], True]
+        edge = other | cut[1:]
+        stop = np.flatnonzero(word & edge) + 1
+        start = np.flatnonzero(word & np.r_[True, edge[:-1]])
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _POW[:n], out=total[1:])

@@ -1,8 +1,64 @@
-"""The corpus pipeline; its stages are filled in as their operators are."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as
+Parquet in the shared folder and reads again as the next stage's documents. All but the
+last return the columns of documents; the last adds region, rack and shard.
+
+Defined cases: see the operators. Rows that repeat a doc_id share the fate of that id in
+the near-duplicate stage; rows with a null doc_id pass it and end in the mixing stage,
+which can't draw them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webloom.llm import decontaminate, jaccard_join, mixing, quality, sharding
+from webloom.session import cut, maybe_broadcast, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling keeps."""
+    return quality.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates."""
+    joined = cut(jaccard_join.jaccard_join(docs), "pipeline-pairs")
+    drop = cut(jaccard_join.copies_to_drop(joined).select(F.col("doc_id").alias("_drop")), "pipeline-copies")
+    return docs.join(maybe_broadcast(drop, 32), docs["doc_id"].cast("long") == drop["_drop"], "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources have their target weights."""
+    return mixing.mixed(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with region, rack and shard."""
+    return sharding.with_shards(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mix),
+    ("sharding", shard),
+]
+
+#: The quality classifier, the mixing programme and the hashes of both can't be had in SQL; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{i}")
+    return docs

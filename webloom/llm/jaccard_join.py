@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import textvec
-from webloom.session import cut
+from webloom.session import cut, maybe_broadcast
 
 BITS = 48
-FLUSH_GRAMS, FLUSH_DOCS, BLOCK = 2_000_000, 60_000, 256
+FLUSH_GRAMS, FLUSH_DOCS, BLOCK = 2_000_000, 60_000, 1 << 17
 _SENT = "r int, flush long, kind int, body binary"
 _SENT_ARROW = pa.schema([("r", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 _SETS = "doc_id long, n int, shared int, k int, prefix binary, fp long, grams array<long>"
@@ -118,6 +118,7 @@ def _send(n_grams: int, ranges: int):
                         yield flush()
         if ids:
             yield flush()
+        textvec.release()
 
     return run
 
@@ -144,6 +145,7 @@ def _count(table: pa.Table) -> pa.Table:
                 rows.append((-1, k, 0, _pack(t[keep], d[keep], rank[at : at + len(t)][keep])))
             at += len(t)
     cols = list(zip(*rows)) if rows else [[], [], [], []]
+    textvec.release()
     return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(cols, _SENT_ARROW)], schema=_SENT_ARROW)
 
 
@@ -166,6 +168,7 @@ def _prefixes(threshold: float):
                 mine = tok[start[i] : start[i + 1]]
                 for col, x in zip(out, (docs[0, i], n[i], size[i], k[i], hashlib.blake2b(mine[: k[i]].tobytes(), digest_size=16).digest(), docs[2, i], mine)):
                     col.append(x)
+        textvec.release()
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(out, _SETS_ARROW)], schema=_SETS_ARROW)
 
     return run
@@ -187,18 +190,22 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> DataFr
     key = ["prefix", "n", "shared"]
     classes = sets.groupBy(*key, "fp").agg(F.min("doc_id").alias("c"), F.sort_array(F.collect_list("doc_id")).alias("members"))
     classes = cut(classes.withColumn("g", F.min("c").over(Window.partitionBy(*key))).select("g", "c", "n", "members"), "jaccard-classes")
-    reps = sets.join(classes.select(F.col("g").alias("doc_id")).distinct(), "doc_id")
-    post = reps.select("doc_id", "n", F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("i", "gram"), (F.col("n") - F.col("shared")).alias("before"))
-    post = post.select(F.col("doc_id").alias("g"), "n", "gram", (F.col("before") + F.col("i")).alias("at"))
+    first = sets.select("doc_id", "n", (F.col("n") - F.col("shared")).alias("before"), F.slice("grams", F.lit(1), F.col("k")).alias("grams"))
+    reps = first.join(maybe_broadcast(classes.select(F.col("g").alias("doc_id")).distinct(), 32), "doc_id")
+    steps = F.arrays_zip(F.col("grams").alias("gram"), F.concat(F.array(F.lit(-1).cast("long")), F.slice("grams", F.lit(1), F.size("grams") - 1)).alias("last"))
+    post = reps.select(F.col("doc_id").alias("g"), "n", "before", F.posexplode(steps).alias("i", "s"))
+    post = post.select("g", "n", F.col("s.gram").alias("gram"), F.col("s.last").alias("last"), (F.col("before") + F.col("i")).alias("at"))
     a, b = post.alias("a"), post.alias("b")
     need = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
     near = (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n") - 1e-9) & (left >= need)
-    groups = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.g") < F.col("b.g")) & near).select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct()
-    ca = classes.select(F.col("g").alias("ga"), F.col("c").alias("a"))
-    cb = classes.select(F.col("g").alias("gb"), F.col("c").alias("b"))
-    across = groups.join(ca, "ga").join(cb, "gb").select("a", "b")
-    inside = ca.join(cb, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b"))).select("a", "b")
+    # where the grams before are equal too, the pair was found there, as the bound of the position was looser
+    new = (F.col("a.last") != F.col("b.last")) | (F.col("a.last") < 0)
+    groups = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.g") < F.col("b.g")) & near & new).select(F.col("a.g").alias("ga"), F.col("b.g").alias("gb")).distinct()
+    ca = classes.select(F.col("g").alias("ga"), F.col("c").alias("a"), F.col("n").alias("na"))
+    cb = classes.select(F.col("g").alias("gb"), F.col("c").alias("b"), F.col("n").alias("nb"))
+    across = groups.join(ca, "ga").join(cb, "gb").select("a", "b", "na", "nb")
+    inside = ca.join(cb, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b"))).select("a", "b", "na", "nb")
     pairs = _verified(cut(across.union(inside), "jaccard-pairs"), sets.select("doc_id", "n", "grams"), threshold)
     ma = classes.select(F.col("c").alias("a"), F.col("members").alias("docs_a"))
     mb = classes.select(F.col("c").alias("b"), F.col("members").alias("docs_b"))
@@ -228,30 +235,37 @@ def _verify(threshold: float):
             has[np.repeat(np.arange(len(ids)), np.diff(off)), place] = 1
             both = (has @ has.T)[ia, ib].astype(np.int64)
         else:
-            lists = [set(values[i:j].tolist()) for i, j in zip(off[:-1], off[1:])]
-            both = np.array([len(lists[i] & lists[j]) for i, j in zip(ia, ib)], np.int64)
+            both, mark, last = np.empty(len(ia), np.int64), np.zeros(len(different), bool), -1
+            for p in np.argsort(ia, kind="stable"):
+                if ia[p] != last:
+                    mark[:] = False
+                    last = ia[p]
+                    mark[place[off[last] - off[0] : off[last + 1] - off[0]]] = True
+                both[p] = np.count_nonzero(mark[place[off[ib[p]] - off[0] : off[ib[p] + 1] - off[0]]])
         jaccard = both / (n[ia].astype(np.int64) + n[ib] - both)
         ok = jaccard >= threshold
+        textvec.release()
         return pa.Table.from_arrays([pa.array(x[ok]) for x in (a, b, jaccard)], schema=_PAIRS_ARROW)
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough, with their similarity.
+    """The pairs (a, b, na, nb) that are similar enough, with their similarity.
 
-    Sets don't travel once per pair. Documents are put into blocks of about ``BLOCK`` that
-    have the same smallest partner, and a set travels once to each pair of blocks that has
-    a pair with it: once for most documents, and k / BLOCK times in a cluster of k.
+    Sets don't travel once per pair. Documents that have the same smallest partner are put
+    into blocks of about ``BLOCK`` grams, and a set travels once to each pair of blocks that
+    has a pair with it: once for most documents, and once a block of its cluster for others.
     """
-    links = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    lead = links.groupBy("doc_id").agg(F.least("doc_id", F.min("other")).alias("lead"))
-    parts = F.ceil(F.count("*").over(Window.partitionBy("lead")) / BLOCK)
+    links = pairs.select(F.col("a").alias("doc_id"), F.col("na").alias("n"), F.col("b").alias("other")).union(pairs.select("b", "nb", "a"))
+    lead = links.groupBy("doc_id").agg(F.least("doc_id", F.min("other")).alias("lead"), F.max("n").alias("n"))
+    parts = F.ceil(F.sum("n").over(Window.partitionBy("lead")) / BLOCK)
     block = cut(lead.select("doc_id", F.xxhash64("lead", F.pmod(F.xxhash64("doc_id"), parts)).alias("block")), "jaccard-blocks")
     ba = block.select(F.col("doc_id").alias("a"), F.col("block").alias("x"))
     bb = block.select(F.col("doc_id").alias("b"), F.col("block").alias("y"))
     placed = cut(pairs.join(ba, "a").join(bb, "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b"), "jaccard-placed")
-    sent = placed.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
+    wanted = cut(placed.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-wanted")
+    sent = sets.join(maybe_broadcast(wanted, 48), "doc_id")
     return placed.groupBy("x", "y").cogroup(sent.groupBy("p", "q")).applyInArrow(_verify(threshold), _PAIRS)
 
 
@@ -264,13 +278,14 @@ def pairs_of(joined: DataFrame) -> DataFrame:
 def copies_to_drop(joined: DataFrame) -> DataFrame:
     """doc_id of every document but the smallest of each connected group of the join.
 
-    Labels spread over stars: each row links the first of ``docs_a`` with all others.
     Every round takes the smallest label among neighbours and then follows labels to
     their own label (pointer jumping), so the rounds grow with the logarithm of the
     longest chain; each round is a written table.
     """
-    rep = F.col("docs_a")[0]
-    edges = joined.select(rep.alias("u"), F.explode(F.concat("docs_a", "docs_b")).alias("v")).where("u != v").distinct()
+    # a class of copies has a row of its own, so other rows need only link the first of each list
+    first_a, first_b = F.col("docs_a")[0], F.col("docs_b")[0]
+    across = joined.select(first_a.alias("u"), first_b.alias("v"))
+    edges = across.union(joined.where(first_a == first_b).select(first_a, F.explode("docs_a"))).where("u != v").distinct()
     both = cut(edges.union(edges.select("v", "u")).distinct(), "links")
     label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")), "labels")
     while True:

@@ -8,6 +8,7 @@ from one running sum over the batch, then mixed, so no Python object is made per
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ _LOWER[65:91] += 32
 _IS_SEP = np.ones(256, dtype=bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _IS_SEP[_lo:_hi] = False
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 _POW = np.ones(1, dtype=np.uint64)
 _IPOW = np.ones(1, dtype=np.uint64)
 
@@ -38,6 +40,13 @@ def _powers(n: int) -> None:
         _IPOW = np.cumprod(full)
 
 
+def release() -> None:
+    """Give freed memory back: a worker that waits for its next task would hold it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))

@@ -114,7 +114,9 @@ def _searcher(shared):
     @arrow_udf(ArrayType(_HIT))
     def search(texts: pa.Array) -> pa.Array:
         index = shared.value
-        return pa.array([[{"item": i, "containment": c} for i, c in index.search(s)] for s in shingle_sets(texts, index.n)], pa.list_(pa.struct([("item", pa.int32()), ("containment", pa.float64())])))
+        found = pa.array([[{"item": i, "containment": c} for i, c in index.search(s)] for s in shingle_sets(texts, index.n)], pa.list_(pa.struct([("item", pa.int32()), ("containment", pa.float64())])))
+        textvec.release()
+        return found
 
     return search
 
@@ -123,7 +125,9 @@ def _leaks(shared):
     @arrow_udf(BooleanType())
     def leaks(texts: pa.Array) -> pa.Array:
         index = shared.value
-        return pa.array([bool(index.search(s)) for s in shingle_sets(texts, index.n)], pa.bool_())
+        found = pa.array([bool(index.search(s)) for s in shingle_sets(texts, index.n)], pa.bool_())
+        textvec.release()
+        return found
 
     return leaks
 

@@ -84,6 +84,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if mine.any():
                 target += np.bincount(b[mine], minlength=BUCKETS)
     some = np.flatnonzero(raw)
+    textvec.release()
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], schema=_COUNT)
 
 
@@ -109,6 +110,7 @@ def _weigher(shared):
     @arrow_udf(kind)
     def weigh(texts: pa.Array) -> pa.Array:
         w, n = shared.value.weigh(texts)
+        textvec.release()
         return pa.StructArray.from_arrays([pa.array(w, pa.float64()), pa.array(n, pa.int64())], ["w", "n"])
 
     return weigh

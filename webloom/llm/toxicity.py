@@ -154,7 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
 def _scorer(shared):
     @arrow_udf(DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(texts), pa.float64(), from_pandas=True)
+        found = pa.array(shared.value.score(texts), pa.float64(), from_pandas=True)
+        textvec.release()
+        return found
 
     return score
 

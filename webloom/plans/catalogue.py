@@ -2,10 +2,236 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from webloom.functions import extract, patterns, urls, xmlconv
+from webloom.operators import filetypes, frontier, reports, rules, store
+from webloom.plans import control
+from webloom.session import table
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_CONFIG = filetypes.default_config()
+KINDS = ("default", "archive", "audio", "image", "video", "feed")
+TAILS = ("", ".jpg", ".png", ".zip", ".css", ".rss")
+ROBOTS = "User-agent: *\nDisallow: /de/ # german\nAllow: /de/1\n\nDisallow:\nUser-agent: other\nDisallow: /"
+
+
+
+def _url() -> Column:
+    return F.col("url")
+
+
+# --- pieces of DuckDB SQL -------------------------------------------------------------
+_ABS = "(?i)^(https?|ftps?|file):/*([a-z0-9.:-]+)((?s:/.*)?)$"
+
+
+def _host(u: str) -> str:
+    return f"nullif(lower(regexp_extract({u}, '{_ABS}', 2)), '')"
+
+
+def _scheme(u: str) -> str:
+    return f"nullif(lower(regexp_extract({u}, '{_ABS}', 1)), '')"
+
+
+def _path(u: str) -> str:
+    return f"case when {_host(u)} is not null then coalesce(nullif(regexp_extract({u}, '{_ABS}', 3), ''), '/') end"
+
+
+def _bare(p: str) -> str:
+    return f"regexp_extract({p}, '^([^?#]*)', 1)"
+
+
+def _ext(u: str) -> str:
+    return f"lower(regexp_extract({_bare(_path(u))}, '/[^/]*\\.([^./]+)$', 1))"
+
+
+def _key(h: str) -> str:
+    return f"case when length({h}) > 4 then regexp_replace({h}, '^www\\.', '') else {h} end"
+
+
+def _normal_path(raw: str) -> str:
+    before = f"regexp_extract({raw}, '(?s)^([^?#]*)', 1)"
+    runs = f"regexp_extract_all({before}, '([!-\\x7f]+|[^!-\\x7f]+)', 1)"
+    enc = f"array_to_string(list_transform({runs}, lambda x: case when regexp_matches(x, '^[!-\\x7f]') then x else url_encode(x) end), '')"
+    parts = f"list_filter(string_split({enc}, '/'), lambda x: x <> '' and x <> '.')"
+    fold = f"list_reduce(list_transform({parts}, lambda x: [x]), lambda acc, x: case when x[1] = '..' then acc[1:greatest(len(acc) - 1, 0)] else list_concat(acc, x) end, []::varchar[])"
+    query = f"regexp_extract(regexp_extract({raw}, '(?s)^([^#]*)', 1), '(?s)^[^?]*(\\?.*)$', 1)"
+    return f"'/' || array_to_string({fold}, '/') || case when len({fold}) > 0 and regexp_matches({before}, '(^|/)\\.{{0,2}}$') then '/' else '' end || replace(replace({query}, '&amp;', '&'), ' ', '+')"
+
+
+def _normalized(u: str) -> str:
+    return f"{_scheme(u)} || '://' || {_host(u)} || {_normal_path(_path(u))}"
+
+
+def _classify(u: str, name: str) -> str:
+    crawler = _CONFIG.crawlers[name]
+    cases = "".join(f" when {_ext(u)} in ({', '.join(repr(e) for e in t.extensions)}) then '{t.name}'" for t in _CONFIG.types_of(crawler) if t.extensions)
+    return f"case when {u} like '%?%' or {_ext(u)} = '' then 'html'{cases} end"
+
+
+_RAW = "(?is)(<(?:script|style|textarea)\\b[^>]*>).*?(</(?:script|style|textarea)\\s*>)"
+_LINK = extract._LINK.replace("'", "''")
+LINKS = f"""
+raw as (select page_id, url, unnest(regexp_extract_all(regexp_replace(html, '{_RAW}', '<raw>\\2', 'g'), '{_LINK}', 1)) as l from pages),
+links as (select page_id, url, regexp_replace(l, '^["'']|["'']$', '', 'g') as link from raw where length(l) > 2 or l not in ('""', '''''')),
+anchored as (select * from links where link <> '' and link not like '#%')
+"""
+_RESOLVED = "{s} || '://' || {h} || {p}".format(s=_scheme("url"), h=_host("url"), p=_normal_path(f"case when link like '/%' then link else regexp_extract({_bare(_path('url'))}, '^(.*/)', 1) || link end"))
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pages")
+
+
+def _links(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", "url", F.explode(extract.html_links(F.col("html"))).alias("link"))
+
+
+def _tailed(s: SparkSession, d: str) -> DataFrame:
+    """URLs with the extensions that the data lack."""
+    tails = F.array(*[F.lit(t) for t in TAILS])
+    return _pages(s, d).select("page_id", F.concat(urls.origin(_url()), F.regexp_extract(F.regexp_extract(urls.path(_url()), r"^([^?#]*)", 1), r"^(.*?)/?$", 1), F.element_at(tails, (F.pmod("page_id", F.lit(len(TAILS))) + 1).cast("int"))).alias("url"))
+
+
+_TAILED = f"""tailed as (select page_id, {_scheme('url')} || '://' || {_host('url')} || regexp_extract({_bare(_path('url'))}, '^(.*?)/?$', 1) || [{', '.join(repr(t) for t in TAILS)}][(page_id % {len(TAILS)} + 1)::integer] as url from pages)"""
+
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        _ORACLE[name] = sql
+
+
+_add(
+    "links_by_host",
+    lambda s, d: _links(s, d).groupBy(urls.host_key(urls.host(_url())).alias("host")).agg(F.count("*").alias("links"), F.countDistinct("link").alias("distinct_links")),
+    f"with {LINKS} select {_key(_host('url'))} as host, count(*) as links, count(distinct link) as distinct_links from anchored group by 1",
+)
+_add(
+    "url_parts",
+    lambda s, d: _pages(s, d).select("page_id", urls.scheme(_url()).alias("scheme"), urls.host(_url()).alias("host"), urls.path(_url()).alias("path"), urls.directory(_url()).alias("directory"), urls.file_part(_url()).alias("file"), urls.extension(_url()).alias("ext"), urls.is_dynamic(_url()).alias("dynamic")),
+    f"select page_id, {_scheme('url')} as scheme, {_host('url')} as host, {_path('url')} as path, regexp_extract({_bare(_path('url'))}, '^(.*/)', 1) as directory, regexp_extract(regexp_extract({_path('url')}, '^([^#]*)', 1), '^[^?]*/([^/?]*(?:\\?.*)?)$', 1) as file, {_ext('url')} as ext, regexp_extract(url, '^([^#]*)', 1) like '%?%' as dynamic from pages",
+)
+_add("url_normalized", lambda s, d: _pages(s, d).select("page_id", urls.normalized(F.concat(_url(), F.lit("/a/../é b/./c"))).alias("normal")), f"select page_id, {_normalized('u')} as normal from (select page_id, url || '/a/../é b/./c' as u from pages)")
+_add("url_dedup_key", lambda s, d: _pages(s, d).select("page_id", urls.dedup_key(urls.normalized(_url())).alias("key")), f"select page_id, lower(regexp_extract({_normalized('url')}, '(?s)^[^:]*://(.*)$', 1)) as key from pages")
+_guess = "case page_id % 3 when 0 then url when 1 then regexp_replace(url, '^https?://', '') else '/' || cast(page_id as string) end"
+_add(
+    "url_guess_scheme",
+    lambda s, d: _pages(s, d).select("page_id", urls.guess_scheme(F.expr(_guess)).alias("guessed")),
+    f"select page_id, case when regexp_matches(u, '^[A-Za-z0-9]*:') then u when regexp_matches(u, '^\\.?/') then 'file://' || u when lower(u) like 'ftp.%' then 'ftp://' || u else 'http://' || u end as guessed from (select page_id, {_guess} as u from pages)",
+)
+_add("resolved_links", lambda s, d: _links(s, d).select("page_id", "link", urls.resolved(_url(), F.col("link")).alias("resolved")), f"with {LINKS} select page_id, link, {_RESOLVED} as resolved from anchored")
+_add(
+    "edges_internal_external",
+    lambda s, d: _links(s, d).select("page_id", urls.resolved(_url(), F.when(F.pmod("page_id", F.lit(2)) == 0, F.col("link")).otherwise(F.concat(F.lit("http://other.example.com"), F.col("link")))).alias("dst"), _url()).groupBy(urls.is_external(_url(), F.col("dst")).alias("external")).agg(F.count("*").alias("edges"), F.countDistinct("dst").alias("targets")),
+    f"with {LINKS}, e as (select page_id % 2 = 1 as external, case when page_id % 2 = 0 then {_RESOLVED} else 'http://other.example.com' || {_normal_path('link')} end as dst from anchored) select external, count(*) as edges, count(distinct dst) as targets from e group by external",
+)
+for _kind in KINDS:
+    _add(
+        f"targets_{_kind}",
+        lambda s, d, k=_kind: _tailed(s, d).select("page_id", "url", filetypes.classify(_url(), _CONFIG.crawlers[k], _CONFIG.types_of(_CONFIG.crawlers[k])).alias("filetype")).where("filetype is not null"),
+        f"with {_TAILED} select * from (select page_id, url, {_classify('url', _kind)} as filetype from tailed) where filetype is not null",
+    )
+_add(
+    "filetype_counts",
+    lambda s, d: _tailed(s, d).groupBy(filetypes.classify(_url(), _CONFIG.crawlers["image"], _CONFIG.types_of(_CONFIG.crawlers["image"])).alias("filetype")).agg(F.count("*").alias("matches")),
+    f"with {_TAILED} select {_classify('url', 'image')} as filetype, count(*) as matches from tailed group by 1",
+)
+_mime = "case page_id % 5 when 0 then 'text/html; charset=utf-8' when 1 then 'IMAGE/png' when 2 then 'audio/ogg' when 3 then 'text/plain' else 'application/x-unknown' end"
+_add("mime_class", lambda s, d: _pages(s, d).select("page_id", filetypes.by_mime(F.expr(_mime), [filetypes.HTML, filetypes.TEXT, _CONFIG.filetypes["image"], _CONFIG.filetypes["audio"]]).alias("filetype")), "select page_id, case page_id % 5 when 0 then 'html' when 1 then 'image' when 2 then 'audio' when 3 then 'txt' end as filetype from pages")
+for _name, _pattern, _sql in (
+    ("path", "PATH</de/*>", f"{_path('url')} like '/de/%'"),
+    ("host", "HOST<*.example.com>", f"{_host('url')} like '%.example.com'"),
+    ("file", "*.html", f"regexp_extract(regexp_extract({_path('url')}, '^([^#]*)', 1), '^[^?]*/([^/?]*(?:\\?.*)?)$', 1) like '%.html'"),
+    ("full", "FULL(http*://*example*/en/*) HOST<*net>", f"url like 'http%://%example%/en/%' and {_host('url')} like '%net'"),
+):
+    _add(f"pattern_{_name}", lambda s, d, p=_pattern: _pages(s, d).where(patterns.matches(_url(), p)).select("page_id", "url"), f"select page_id, url from pages where {_sql}")
+_add(
+    "robots_allowed",
+    lambda s, d: _pages(s, d).select("page_id", rules.allowed(urls.path(_url()), rules.robots_rules(F.lit(ROBOTS), "webloom/1")).alias("allowed")),
+    f"select page_id, {_path('url')} like '/de/1%' or not {_path('url')} like '/de/%' as allowed from pages",
+)
+_add("jail_filter", lambda s, d: _pages(s, d).where(rules.in_jail(_url(), F.concat(urls.origin(_url()), F.lit("/EN/index.html")))).select("page_id"), f"select page_id from pages where lower({_path('url')}) like '/en/%'")
+_add("css_links", lambda s, d: _pages(s, d).select("page_id", F.explode(extract.css_links(F.concat(F.lit("body{background:url(\""), _url(), F.lit("\")} @import url(x.css);")))).alias("link")), "select page_id, url as link from pages union all select page_id, 'x.css' from pages")
+_add("text_links", lambda s, d: _pages(s, d).select("page_id", F.explode(extract.text_links(F.concat(F.lit("see "), _url(), F.lit(" there")))).alias("link")), "select page_id, unnest(regexp_extract_all('see ' || url || ' there', '((?:http|ftp)://[A-Za-z0-9%?=&/.]+)', 1)) as link from pages")
+_add("entities_decoded", lambda s, d: _pages(s, d).select("page_id", F.md5(extract.decode_entities(F.col("html"))).alias("digest")), "select page_id, md5(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', chr(1)), chr(1), '&')) as digest from pages")
+_add("page_charset", lambda s, d: _pages(s, d).select("page_id", extract.charset(F.lit(None).cast("string"), F.col("html")).alias("charset")), "select page_id, lower(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*\\bcharset\\s*=\\s*[\"'']?([a-z0-9_.:-]+)', 1), ''), 'utf-8')) as charset from pages")
+_add("page_title", lambda s, d: _pages(s, d).select("page_id", extract.title(F.col("html")).alias("title")), "select page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '') as title from pages")
+_meta = "concat(html, '<meta name=\"id\" content=\"', cast(page_id as string), '\">')"
+_add("page_meta", lambda s, d: _pages(s, d).select("page_id", F.explode(extract.meta(F.expr(_meta))).alias("m")).select("page_id", "m.name", "m.content"), "select page_id, 'id' as name, page_id::varchar as content from pages")
+_add("page_source", lambda s, d: _pages(s, d).select("page_id", "html"), "select page_id, html from pages")
+_add("page_xml", lambda s, d: _pages(s, d).select("page_id", xmlconv.to_xml(F.col("html"))["xml"].alias("xml")))
+_add("page_xml_titles", lambda s, d: _pages(s, d).select("page_id", F.replace(F.xpath_string(xmlconv.to_xml(F.col("html"))["xml"], F.lit("//title")), F.lit("&amp;"), F.lit("&amp;")).alias("title")), "select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) as title from pages")
+_add("page_wellformed", lambda s, d: _pages(s, d).select("page_id", xmlconv.to_xml(F.col("html")).alias("x")).select("page_id", "x.unclosed", "x.stray"))
+_name = f"coalesce(nullif(regexp_extract({_bare(_path('url'))}, '([^/]*)$', 1), ''), 'index.html')"
+_add(
+    "download_names",
+    lambda s, d: store.filenames(_pages(s, d).select("page_id", urls.download_name(_url()).alias("name")), "name", "page_id"),
+    f"select page_id, name, case when n > 0 then name || '-' || n else name end as saved_as from (select page_id, name, row_number() over (partition by name order by page_id) - 1 as n from (select page_id, {_name} as name from pages))",
+)
+_add(
+    "first_seen_dedup",
+    lambda s, d: frontier.first_seen(_pages(s, d).select("page_id", urls.dedup_key(urls.normalized(_url())).alias("key")).union(_pages(s, d).select(F.col("page_id") + 1_000_000, urls.dedup_key(urls.normalized(F.upper(_url()))))), "key", "page_id"),
+    f"select min(page_id) as page_id, key from (select page_id, lower(regexp_extract({_normalized('url')}, '(?s)^[^:]*://(.*)$', 1)) as key from pages union all select page_id + 1000000, lower(regexp_extract({_normalized('upper(url)')}, '(?s)^[^:]*://(.*)$', 1)) from pages) group by key",
+)
+
+
+def _frontier(s: SparkSession, d: str) -> DataFrame:
+    n = _pages(s, d).agg(F.count("*").alias("n"))
+    links = _pages(s, d).crossJoin(F.broadcast(n)).select(F.col("page_id").alias("src"), F.explode(F.array((2 * F.col("page_id") + 1) % F.col("n"), (2 * F.col("page_id") + 2) % F.col("n"))).alias("dst"))
+    return frontier.expand(_pages(s, d).where("page_id = 0").select(F.col("page_id").alias("page")), links, 0)
+
+
+_add(
+    "frontier_depth",
+    _frontier,
+    "with recursive n as (select count(*) as n from pages), e as (select page_id as src, unnest([(2 * page_id + 1) % n, (2 * page_id + 2) % n]) as dst from pages, n), r(page, depth) as (select page_id, 0 from pages where page_id = 0 union select e.dst, r.depth + 1 from r join e on e.src = r.page where r.depth < 20) select page, min(depth) as depth from r group by page",
+)
+_add("sha1_urls", lambda s, d: _pages(s, d).select("page_id", store.url_hash(_url()).alias("hash")), "select page_id, sha1(url) as hash from pages")
+
+
+def _upsert(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "events").select(F.sha1(F.col("user_id").cast("string")).alias("hash"), F.col("ts").alias("date"), F.col("event_id").alias("event"))
+    return store.upsert(rows.where("event % 2 = 0"), rows.where("event % 2 = 1"), "hash")
+
+
+_add("url_upsert", _upsert, "select sha1(user_id::varchar) as hash, max(ts) as date, arg_max(event_id, {'d': ts, 'e': event_id}) as event from events group by 1")
+_C = f"with {control.SQL} "
+_JOIN = "s.id, s.client_id, c.token, s.added_id, a.crawler, a.input, s.date, s.latest, s.state from {s} s left join nol_client c on c.id = s.client_id left join nol_added a on a.id = s.added_id"
+_add("session_info", lambda s, d: reports.session_info(control.sessions(s, d), control.clients(s, d), control.added(s, d), 77), _C + "select " + _JOIN.format(s="nol_session") + " where s.id = 77")
+_add("list_sessions", lambda s, d: reports.list_sessions(control.sessions(s, d), control.clients(s, d), control.added(s, d), 20, 50), _C + ", top as (select * from nol_session order by latest desc, id desc limit 50 offset 20) select " + _JOIN.format(s="top"))
+_add("list_input", lambda s, d: reports.list_input(control.added(s, d), control.sessions(s, d), 7), _C + "select a.id, a.crawler, a.input, a.date, s.id as session_id, s.state from nol_added a left join nol_session s on s.added_id = a.id where a.user_id = 7 order by a.id desc, s.id desc nulls last limit 1000")
+_add("list_users", lambda s, d: reports.list_users(control.users(s, d), 10, 100), _C + 'select id, "user", level from nol_user where not deleted order by id desc limit 100 offset 10')
+_add("system_info", lambda s, d: reports.system_info(control.sessions(s, d), control.users(s, d)), _C + "select (select count(*) from nol_session) as sessions, (select count(*) from nol_user) as users")
+_add("next_due_input", lambda s, d: reports.next_due(control.added(s, d), control.NOW), _C + f"select * from nol_added where date <= timestamp '{control.NOW}' order by date desc, id desc limit 1")
+
+
+def _rel(s: SparkSession, d: str) -> DataFrame:
+    return control.sessions(s, d).select((F.col("id") % 97).alias("session_id"), F.expr("case when id % 3 = 0 then 'html' else 'image' end").alias("filetype"), (F.col("id") % 1000).alias("target_id"))
+
+
+_add("session_counts", lambda s, d: store.session_counts(_rel(s, d), ["html", "image"]), _C + ", rel as (select distinct id % 97 as session_id, case when id % 3 = 0 then 'html' else 'image' end as filetype, id % 1000 as target_id from nol_session) select session_id, count(*) filter (filetype = 'html') as count_html, count(*) filter (filetype = 'image') as count_image from rel group by session_id")
+_add("least_loaded_slave", lambda s, d: reports.least_loaded(table(s, d, "supplier").select(F.col("s_nationkey").alias("slave")), "slave"), "select slave, clients from (select s_nationkey as slave, count(*) as clients from supplier group by 1) order by clients, slave limit 1")
+_add("clients_per_slave", lambda s, d: table(s, d, "supplier").groupBy(F.col("s_nationkey").alias("slave")).agg(F.count("*").alias("clients")), "select s_nationkey as slave, count(*) as clients from supplier group by 1")
+_add("session_state", lambda s, d: reports.session_state(table(s, d, "events"), "user_id", ["ts", "event_id"], "event_type"), "select user_id, arg_max(event_type, {'t': ts, 'e': event_id}) as state, count(*) as events from events group by user_id")
+_add("insert_ignore_rel", lambda s, d: store.insert_ignore(_rel(s, d).where("session_id < 50").distinct(), _rel(s, d), ["session_id", "filetype", "target_id"]), _C + "select distinct id % 97 as session_id, case when id % 3 = 0 then 'html' else 'image' end as filetype, id % 1000 as target_id from nol_session")
+_line = "concat(if(p_partkey % 5 = 0, 'd', '-'), 'rw-r--r--   1 root  other  ', p_size * 100, ' Jan ', 1 + p_partkey % 28, ' 1994 ', p_name)"
+_add(
+    "ftp_entries",
+    lambda s, d: table(s, d, "part").select("p_partkey", extract.list_entry(F.expr(_line)).alias("e")).select("p_partkey", "e.*"),
+    "select p_partkey, p_name as name, p_partkey % 5 = 0 as is_dir, (p_size * 100)::bigint as size, make_timestamp(1994, 1, 1 + p_partkey % 28, 0, 0, 0) as mtime from part",
+)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLE)

@@ -1,16 +1,18 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 4).
 
 Documents are partitioned by the size of their shingle set, in powers of two. In the
-partition of sizes 2**p to 2**(p+1) a signature is a one-permutation MinHash of 2**(p+1)
-bins: the least hash in each bin. The bins grow with the sets, so a bin holds at most
-about one shingle of a document of any length, and an item of ten shingles inside a
+partition of sizes 2**p to 2**(p+1) a signature is a one-permutation MinHash of 2**(p+5)
+bins: the least hash in each bin. The bins grow with the sets, so a bin holds at most a
+sixteenth of a shingle of a document of any length, and an item of ten shingles inside a
 document of ten thousand is as sure to be seen as inside one of twenty. A plain MinHash
 of fixed length would miss it: the Jaccard similarity of the two is 0.001. An item has
 one signature per partition; one common minimum makes a candidate (bands of one row),
 and candidates are verified by the exact containment of the item's shingles.
 
-A shingle found in a document survives in its signature with a chance of 0.63 or more,
-so an item with 10 of its shingles in a document is missed with 0.37**10 = 0.00005.
+A shingle found in a document survives in its signature with a chance of 0.94 or more,
+so a pair that shares m shingles is missed with at most 0.06**m: 8e-7 for an item of
+eight shingles. Items of fewer than ``SHORT`` shingles have no signature: all of their
+shingles are looked up in the document's whole set, which misses none.
 
 One pass over the documents; nothing is shuffled. The items' signatures go to the
 executors as a broadcast whose size is bounded: a benchmark of more than
@@ -42,14 +44,15 @@ from webloom.llm import textvec
 N = 5
 THRESHOLD = 0.6
 BLOCK_ITEMS = 50_000
+SHORT = 8
 _HIT = StructType([StructField("item", IntegerType()), StructField("containment", DoubleType())])
 
 
 def signature(s: np.ndarray, p: int) -> np.ndarray:
-    """Of sorted distinct hashes, the least in each of 2**(p+1) equal ranges."""
+    """Of sorted distinct hashes, the least in each of 2**(p+5) equal ranges."""
     if not len(s):
         return s
-    bins = s >> np.uint64(63 - min(p, 62))
+    bins = s >> np.uint64(max(0, 59 - p))
     return s[np.r_[True, bins[1:] != bins[:-1]]]
 
 
@@ -59,32 +62,35 @@ class Index:
     def __init__(self, texts: pa.Array, n: int, threshold: float):
         self.n, self.threshold, self.sets = n, threshold, list(shingle_sets(texts, n))
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        short = [i for i, s in enumerate(self.sets) if 0 < len(s) < SHORT]
+        self.short = self._sorted(short, [self.sets[i] for i in short])
+
+    @staticmethod
+    def _sorted(items: list[int], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """All hashes in order, with their items."""
+        values = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        of = np.repeat(np.array(items, np.int64), [len(x) for x in hashes])
+        order = np.argsort(values, kind="stable")
+        return values[order], of[order]
 
     def partition(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted minima of the items that fit into documents of this partition, with their items."""
+        """Minima of the items that fit into documents of this partition."""
         if p not in self.by_size:
-            fits = [i for i, s in enumerate(self.sets) if len(s) and self.threshold * len(s) <= 1 << (p + 1)]
-            sigs = [signature(self.sets[i], p) for i in fits]
-            values = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
-            items = np.repeat(np.array(fits, np.int64), [len(x) for x in sigs])
-            order = np.argsort(values, kind="stable")
-            self.by_size[p] = values[order], items[order]
+            fits = [i for i, s in enumerate(self.sets) if len(s) >= SHORT and self.threshold * len(s) <= 1 << (p + 1)]
+            self.by_size[p] = self._sorted(fits, [signature(self.sets[i], p) for i in fits])
         return self.by_size[p]
 
     def search(self, s: np.ndarray) -> list[tuple[int, float]]:
         if not len(s):
             return []
         p = len(s).bit_length() - 1
-        values, items = self.partition(p)
-        sig = signature(s, p)
-        lo = np.searchsorted(values, sig, "left")
-        hit = lo < len(values)
-        hit[hit] = values[lo[hit]] == sig[hit]
-        if not hit.any():
-            return []
-        lo, hi = lo[hit], np.searchsorted(values, sig[hit], "right")
+        candidates: set[int] = set()
+        for (values, items), keys in ((self.partition(p), signature(s, p)), (self.short, s)):
+            lo, hi = np.searchsorted(values, keys, "left"), np.searchsorted(values, keys, "right")
+            for k in np.flatnonzero(hi > lo):
+                candidates.update(items[lo[k] : hi[k]].tolist())
         found = []
-        for i in sorted({int(x) for a, b in zip(lo, hi) for x in items[a:b]}):
+        for i in sorted(candidates):
             mine = self.sets[i]
             at = np.minimum(np.searchsorted(s, mine), len(s) - 1)
             share = float((s[at] == mine).sum()) / len(mine)

@@ -19,8 +19,9 @@ Columns: ``doc_id``, ``score``, ``toxic``.
 
 Defined cases: a text that is null or without words has a null score and isn't toxic.
 Null ids are scored too. Rows that repeat a doc_id are each scored; in the labels, any
-toxic row makes it toxic. Without toxic labels nothing is toxic (scores are null). Extra
-columns are ignored. An empty table gives an empty result.
+toxic row makes it toxic. Without a toxic label of a document in the table nothing is
+toxic and scores are null. Extra columns are ignored. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -146,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
     off = parts[0].offsets.to_numpy()
     b, c = (p.values.to_numpy(zero_copy_only=False) for p in parts)
     rows = [(b[i:j].astype(np.int64), c[i:j]) for i, j in zip(off[:-1], off[1:])]
+    if not pos.any():  # none of the toxic documents is in the table
+        return None
     # equal samples give an equal model in whatever order they arrive
     order = sorted(range(len(rows)), key=lambda i: (bool(pos[i]), len(rows[i][0]), rows[i][0].tobytes()))
     return train([rows[i] for i in order], pos[order], float(share) if prior is None else prior)

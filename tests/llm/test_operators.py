@@ -170,6 +170,37 @@ def test_neighbours_recall(spark):
     assert [(r.neighbor_id, r.distance) for r in got[10]][:2] == [(11, 0.0), (12, 0.0)]
 
 
+def recall(spark, x, queries=400):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    asked = np.random.default_rng(8).permutation(len(x))[:queries]
+    found: dict = {}
+    for r in ann.neighbors(df).where(F.col("vec_id").isin(asked.tolist())).collect():
+        found.setdefault(r.vec_id, set()).add(r.neighbor_id)
+    d = ann.squares(x[asked], x)
+    d[np.arange(len(asked)), asked] = np.inf
+    exact = d.argsort(1, kind="stable")[:, : ann.K]
+    return float(np.mean([len(found[i] & set(e)) / ann.K for i, e in zip(asked.tolist(), exact.tolist())]))
+
+
+@pytest.mark.parametrize("n", [2_000, 6_000])
+def test_neighbours_recall_without_clusters(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    assert recall(spark, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)) >= 0.9
+
+
+def test_neighbours_recall_of_provided(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").select("embedding").collect()
+    assert recall(spark, np.array([r.embedding for r in rows], np.float32), 2_000) >= 0.9
+
+
+def test_neighbours_of_large_lists_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "QUERIES", 100)
+    x = np.random.default_rng(13).normal(size=(1000, 8)).astype(np.float32)
+    x[:500] = x[:500] * 0.01 + 3
+    assert recall(spark, x) >= 0.9
+
+
 def test_neighbours_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.neighbors(spark.createDataFrame([], schema)).count() == 0

@@ -390,6 +390,19 @@ def test_html_diff_deletes_the_template(spark):
     assert got[2].text == "two" and got[3].text == "menu\nthree\nfoot" and got[3].paired_with is None
 
 
+def test_html_diff_looks_beyond_copies(spark):
+    """Runs of copies over several ranges, and on both sides."""
+    page = "<p>menu</p><p>{}</p><p>foot</p>"
+    urls = [(i, f"http://x.com/b/{i:04}", page.format("same")) for i in range(10, 500)]
+    rows = [(1, "http://x.com/a/1", page.format("first")), *urls, (900, "http://x.com/b/9", page.format("last")), (901, "http://y.com/b/9", page.format("same"))]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    got = {r.page_id: r for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == len(rows) and got[901].paired_with is None
+    assert all((got[i].text, got[i].n_shared) == ("same", 2) for i in range(10, 500))
+    assert got[10].paired_with == 1 and {got[i].paired_with for i in range(11, 500)} == {900}
+
+
 # 10 -----------------------------------------------------------------------------------
 def test_line_dedup_against_brute_force(spark):
     rng = np.random.default_rng(12)

@@ -6,19 +6,24 @@
 2. Pages are ordered by host, path (with query) and page_id. A page is paired with the one
    before or after it on the same host whose path has the longer prefix in common with its
    own, the one before in a tie. A neighbour with exactly the same lines is a copy, says
-   nothing about the template and isn't paired.
+   nothing about the template and isn't paired. A page that has no partner for that looks
+   beyond its run of copies: at the nearest pages of the host, before and after, whose
+   lines differ.
 3. The lines of the two are aligned by a longest common subsequence, and the aligned lines
    are deleted from the page. Each page is judged by its own partner.
 
 A host may hold any share of the pages: the order is cut into ranges of keys, not hosts.
-The bounds come from a pass over the URLs alone, and so do the first and last page of every
-range, which are sent to the range beside theirs as well. So each page has both neighbours
-at hand, the result doesn't depend on the bounds, and the text is shuffled just once.
+The bounds come from a pass over the URLs alone. Another pass, over hashes of the lines,
+finds the first and last page of every range, which are sent to the range beside theirs as
+well, and past a run of copies that lies over a bound, the nearest page that differs, in
+whatever range. So each page has its neighbours at hand, the result doesn't depend on the
+bounds, and the text is shuffled just once.
 
 Columns: ``page_id``, ``paired_with`` (page_id of the partner, null without one),
 ``n_lines``, ``n_shared`` and ``text``, the lines left.
 
-Defined cases: a null HTML has no lines and an empty text. A page whose URL is null or has
+Defined cases: a null HTML has no lines and an empty text; without lines there is nothing
+to delete, so such a page doesn't look beyond its copies. A page whose URL is null or has
 no host isn't paired. A null page_id comes first in the order. Repeated rows are copies of
 each other and each reported. Extra columns are ignored. An empty table gives an empty
 result.
@@ -29,6 +34,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -176,24 +182,62 @@ def differenced(before: tuple | None, page: tuple, after: tuple | None) -> tuple
     return page_id, partner[1], len(mine), len(shared), "\n".join(x for i, x in enumerate(mine) if i not in shared)
 
 
+def _run_of_copies(before: tuple | None, run: list[tuple], text: str, after: tuple | None) -> Iterator[tuple]:
+    """The results of neighbours with the same lines; of them (key, page_id, mine) is given."""
+    near, found = [x if x is not None and _near(run[0][0], x[0]) >= 0 else None for x in (before, after)], {}
+    for i, (k, page_id, mine) in enumerate(run):
+        if not mine:
+            continue
+        first, last = (near[0] if i == 0 else None), (near[1] if i == len(run) - 1 else None)
+        if first is None and last is None and text:
+            first, last = near
+        pick = None
+        for other in (first, last):
+            if other is not None and (pick is None or _near(k, other[0]) > _near(k, pick[0])):
+                pick = other
+        if id(pick) not in found:  # it is the same for all copies
+            found[id(pick)] = differenced(pick, (k, page_id, text), None)
+        yield (page_id, *found[id(pick)][1:])
+
+
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows: each with the one before and after."""
-    last = here = None
-    for batch in batches:
-        rows = []
-        for k, page_id, text, mine in zip(*(batch.column(c).to_pylist() for c in ("k", "page_id", "text", "mine"))):
-            row = (k, page_id, text, mine)
-            if here is not None and here[3]:
-                rows.append(differenced(last and last[:3], here[:3], row[:3]))
-            last, here = here, row
-        if rows:
+    """Sorted rows: each run of copies with the page before and after."""
+
+    def results() -> Iterator[tuple]:
+        before, run, text, last = None, [], None, None
+        for batch in batches:
+            for k, page_id, x, mine in zip(*(batch.column(c).to_pylist() for c in ("k", "page_id", "text", "mine"))):
+                if run and (x != text or _near(run[-1][0], k) < 0):
+                    yield from _run_of_copies(before, run, text, (k, page_id, x))
+                    before, run = last, []
+                run.append((k, page_id, mine))
+                text, last = x, (k, page_id, x)
+        if run:
+            yield from _run_of_copies(before, run, text, None)
+
+    rows, size = [], 0
+    for row in results():
+        rows.append(row)
+        size += 64 + len(row[4])
+        if size > 1 << 23:
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _OUT)], schema=_OUT)
-    if here is not None and here[3]:
-        yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(differenced(last and last[:3], here[:3], None), _OUT)], schema=_OUT)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _OUT)], schema=_OUT)
+
+
+def _hash(k: str, text: str) -> bytes:
+    """Of the host and the lines."""
+    return blake2b(f"{k[: k.index(chr(1)) + 1]}{text}".encode(errors="surrogatepass"), digest_size=16).digest()
+
+
+def _two(rows: list[tuple]) -> list[tuple]:
+    """The first row, and the first that has another hash."""
+    return rows[:1] + [x for x in rows if x[2] != rows[0][2]][:1]
 
 
 def _ranges(keys: DataFrame, parts: int) -> tuple[list[str], dict[tuple[str, int], list[int]]]:
-    """Bounds of about equal ranges, and to which other ranges first and last pages go."""
+    """Bounds of about equal ranges, and to which other ranges pages go."""
     n = keys.count()
     parts = max(1, min(parts, n // RANGE_ROWS))
     every = max(1, n // (parts * DRAWN))
@@ -203,25 +247,45 @@ def _ranges(keys: DataFrame, parts: int) -> tuple[list[str], dict[tuple[str, int
         return [], {}
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, tuple] = {}
-        most: dict[int, tuple] = {}
+        least: dict[int, list[tuple]] = {}
+        most: dict[int, list[tuple]] = {}
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                p = bisect_right(bounds, row[0])
-                if p not in least or row < least[p]:
-                    least[p] = row
-                if p not in most or row > most[p]:
-                    most[p] = row
-        cols = [list(least), *zip(*least.values()), *zip(*(most[p] for p in least))] if least else [[], [], [], [], []]
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], ["part", "k0", "p0", "k1", "p1"])
-
-    found = keys.mapInArrow(ends, "part int, k0 string, p0 long, k1 string, p1 long").groupBy("part")
-    rows = sorted(found.agg(F.min(F.struct("k0", "p0")).alias("a"), F.max(F.struct("k1", "p1")).alias("b")).collect())
+            for k, pid, html in zip(*(c.to_pylist() for c in batch.columns)):
+                p, row = bisect_right(bounds, k), (k, pid, _hash(k, "\n".join(lines_of(html))))
+                least[p] = _two(sorted([row, *least.get(p, ())]))
+                most[p] = _two(sorted([row, *most.get(p, ())], reverse=True))
+        rows = [(p, last, *x) for last, of in ((False, least), (True, most)) for p, found in of.items() for x in found]
+        cols = zip(*rows) if rows else [[]] * 5
+        kinds = (pa.int32(), pa.bool_(), pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds)], ["part", "last", "k", "pid", "h"])
+
+    # the least by hash of each task's rows; of them, at most two by range and end go to the driver
+    found = keys.select("k", "pid", "html").mapInArrow(ends, "part int, last boolean, k string, pid long, h binary")
+    row = F.struct("k", "pid", "h")
+    by = found.groupBy("part", "last", "h").agg(F.min(row).alias("lo"), F.max(row).alias("hi")).groupBy("part", "last")
+    by = by.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("lo", "hi")).alias("of"))
+    others = F.filter("of", lambda x: x["lo"]["h"] != F.when(F.col("last"), F.col("hi")["h"]).otherwise(F.col("lo")["h"]))
+    by = by.select("part", "last", "lo", "hi", F.array_min(F.transform(others, lambda x: x["lo"])).alias("lo2"), F.array_max(F.transform(others, lambda x: x["hi"])).alias("hi2"))
+    first: dict[int, list] = {}
+    final: dict[int, list] = {}
+    for r in by.collect():
+        (final if r["last"] else first)[r.part] = [tuple(x) for x in ((r.hi, r.hi2) if r["last"] else (r.lo, r.lo2)) if x is not None]
     beside: dict[tuple[str, int], list[int]] = {}
-    for x, y in zip(rows, rows[1:]):
-        beside.setdefault(tuple(x.b), []).append(y.part)
-        beside.setdefault(tuple(y.a), []).append(x.part)
+
+    def send(row: tuple, part: int) -> None:
+        to = beside.setdefault(row[:2], [])
+        if part not in to:
+            to.append(part)
+
+    order = sorted(first)
+    for way, own, theirs in ((order, final, first), (order[::-1], first, final)):
+        for i, p in enumerate(way[:-1]):
+            send(theirs[way[i + 1]][0], p)
+            for q in way[i + 1 :]:
+                differ = [x for x in theirs[q] if x[2] != own[p][0][2]]
+                if differ:
+                    send(differ[0], p)
+                    break
     return bounds, beside
 
 
@@ -230,7 +294,7 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = pages.select(_key(F.col("url")).alias("k"), F.col("page_id").cast("long").alias("page_id"), "html")
-    bounds, beside = _ranges(keyed.select("k", F.coalesce("page_id", F.lit(LEAST)).alias("pid")), parts)
+    bounds, beside = _ranges(keyed.select("k", F.coalesce("page_id", F.lit(LEAST)).alias("pid"), "html"), parts)
     shared = spark.sparkContext.broadcast((bounds, beside))
     lines = keyed.mapInArrow(_spread(shared), _LINES_SQL).repartitionById(len(bounds) + 1, F.col("part"))
     return lines.sortWithinPartitions("k", "pid", "text").drop("part", "pid").mapInArrow(_stream, _OUT_SQL)

@@ -357,6 +357,24 @@ def test_html_lines():
     assert html_diff.lines_of(None) == [] and html_diff.lines_of("<script>") == []
 
 
+@pytest.mark.parametrize(
+    "html, lines",
+    [
+        ("<html><head><title>x</title><body><p>whole text</p></body></html>", ["whole text"]),
+        ("<head><meta charset=utf-8><title>x</title><script>a</script><p>whole <b>text</b></p>", ["whole text"]),
+        ("<head><link rel=a>text<p>more</p>", ["text", "more"]),
+        ("<head><title>x<body><p>text</p>", ["text"]),
+        ('<p>a</p><svg width="1"/><p>whole text</p>', ["a", "whole text"]),
+        ("<p>a</p><template/><p>b</p><template><p>no</p></template><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><svg><g><p>b</p><svg><text>no</text></svg><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><svg>no<svg>no</svg>no</svg><p>b</p>", ["a", "b"]),
+        ("<svg-icon>a</svg-icon><header>b</header><p>c</p><!-- no <p>d</p>", ["a", "b", "c"]),
+    ],
+)
+def test_html_lines_of_unclosed(html, lines):
+    assert html_diff.lines_of(html) == lines
+
+
 def test_html_diff_against_brute_force(spark):
     rng, rows = np.random.default_rng(11), []
     for i in range(900):

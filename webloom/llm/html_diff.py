@@ -22,7 +22,9 @@ bounds, and the text is shuffled just once.
 Columns: ``page_id``, ``paired_with`` (page_id of the partner, null without one),
 ``n_lines``, ``n_shared`` and ``text``, the lines left.
 
-Defined cases: a null HTML has no lines and an empty text; without lines there is nothing
+Defined cases: scripts, styles and comments that aren't closed run to the end of the page.
+A head ends at its end tag or at the first text or element that can't be in one; ``<svg/>``
+and ``<template/>`` are empty, and of those never closed only the tag goes. A null HTML has no lines and an empty text; without lines there is nothing
 to delete, so such a page doesn't look beyond its copies. A page whose URL is null or has
 no host isn't paired. A null page_id comes first in the order. Repeated rows are copies of
 each other and each reported. Extra columns are ignored. An empty table gives an empty
@@ -45,7 +47,16 @@ LEAST = -(1 << 63)
 #: Rows that a range has at least, and keys that are drawn for each bound.
 RANGE_ROWS, DRAWN = 64, 20
 
-_GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Comments and raw text, which alone run to the end of the page where they aren't closed.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript)(?![\w-]).*?(?:</\1\s*>|\Z)", re.S | re.I)
+_EMPTY = re.compile(r"<(?:svg|template)(?![\w-])[^>]*/>", re.I)
+_INNERMOST = re.compile(r"<(svg|template)(?![\w-])[^>]*>(?:(?!<\1(?![\w-])).)*?</\1\s*>", re.S | re.I)
+#: A head with what can be in it; anything else ends it.
+_HEAD = re.compile(
+    r"<head(?![\w-])[^>]*>(?:\s+|<title(?![\w-])[^>]*>(?:.*?</title\s*>|[^<]*)"
+    r"|</?(?:base|basefont|bgsound|link|meta|noframes|noscript|script|style|template|title)(?![\w-])[^>]*>|<[!?][^>]*>)*(?:</head\s*>)?",
+    re.S | re.I,
+)
 _BREAK = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|button|caption|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]"
     r"|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul)(?![\w-])[^>]*>",
@@ -64,7 +75,10 @@ def lines_of(html: str | None) -> list[str]:
     """The visible lines of a page."""
     if not html:
         return []
-    x = _GONE.sub("", html).replace("\n", " ")
+    x, nested = _EMPTY.sub("", _RAW.sub("", html)), 1
+    while nested:
+        x, nested = _INNERMOST.subn("", x)
+    x = _HEAD.sub("", x).replace("\n", " ")
     x = unescape(_TAG.sub("", _BREAK.sub("\n", x)))
     return [y for y in (line.strip() for line in _BLANKS.sub(" ", x).split("\n")) if y]
 

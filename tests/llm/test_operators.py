@@ -71,6 +71,16 @@ def test_mix_defaults_and_empty(spark):
     assert mixing.mix_sources(frame(spark, ODD[1:4])).count() == 0
 
 
+def test_mix_of_a_tiny_source(spark):
+    """One more small source, or a null one, doesn't shrink the result."""
+    rows = [(i, words(i, 20 + i % 7), "en", f"s{i % 10}") for i in range(3000)]
+    have = sum(len(r[1].split()) for r in rows)
+    for name in ("rare", None):
+        got = mixing.mix_sources(frame(spark, [*rows, (5000, words(1, 10), "en", name)])).collect()
+        assert sum(r.n_tokens for r in got) > 0.95 * have
+        assert [r.n_tokens for r in got if r.doc_id == 5000] == [10]
+
+
 def test_knapsack_is_the_best(spark):
     rng = np.random.default_rng(3)
     for _ in range(60):

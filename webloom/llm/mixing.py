@@ -2,8 +2,10 @@
 
 1. Tokens (words between blanks) are counted per document, and documents per source and
    exact token length.
-2. A source's budget is its share of the total. The total is given, or the largest that
-   leaves no source short of its share.
+2. A source's budget is its share of the total. The total is given, or the largest for
+   which the sources short of their share hold no more than ``SHORT`` of all tokens, so
+   that a stray small source doesn't set the size of the result. A short source gives all
+   it has.
 3. In each source, lengths in descending order give cumulative quotas: of the first C
    documents, floor(f C) are taken, f being (budget - slack) / tokens and the slack one
    longest length (more if that doesn't fit; in the end all of a small budget). That
@@ -22,8 +24,7 @@ Defined cases: null or blank texts and null ids have no tokens to give and are l
 A null source is the source "". Rows that repeat a doc_id, source and length are drawn
 together; where they lie across the cut all are left out, so a budget is never exceeded.
 Sources without a target weight are left out; a weighted source without documents gets
-nothing. With a given total, a short source gives all it has. Extra columns are kept by
-``mixed``. An empty table gives an empty result.
+nothing. Extra columns are kept by ``mixed``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from webloom.session import cut, maybe_broadcast
 
 ALPHA = 0.7
+SHORT = 0.1
 SEED = 17
 BUCKET = 1_000_000
 TABLE = 1 << 22
@@ -119,7 +121,11 @@ def budgets(hist: DataFrame, weights: dict[str, float] | None, total: int | None
     else:
         known = hist.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0], "src string, w double")
         want = have.join(known, "src")
-    one = want.agg(F.sum("w").alias("all_w"), F.min(F.col("tokens") / F.col("w")).alias("least"))
+    # the sources with fewest tokens for their weight may be short: a row for each source, in one sort
+    upto = F.sum("tokens").over(Window.orderBy(F.col("tokens") / F.col("w"), "src").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rated = want.withColumn("upto", upto).crossJoin(F.broadcast(want.agg(F.sum("tokens").alias("all_tokens"))))
+    full = F.when(F.col("upto") > F.col("all_tokens") * SHORT, F.col("tokens") / F.col("w"))
+    one = rated.agg(F.sum("w").alias("all_w"), F.min(full).alias("least"))
     size = F.col("least") * F.col("all_w") if total is None else F.lit(float(total))
     budget = F.least(F.floor(size * F.col("w") / F.col("all_w") + 1e-6), F.col("tokens"))
     return want.crossJoin(F.broadcast(one)).select("src", budget.cast("long").alias("budget"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +43,22 @@ def remove_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables that ``cut`` wrote and that are still there.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _forget(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is not None:
+        remove_path(spark, path)
+
+
 def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, survives the loss of executors and keeps column pruning,
-    which ``checkpoint()`` would not. The folder goes when the interpreter ends.
+    which ``checkpoint()`` would not. The folder goes when a ``scratch`` block around the
+    call ends, else when the interpreter does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webloom/{name}-{uuid.uuid4().hex}"
@@ -53,10 +66,43 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(remove_path, spark, path)
+    _WRITTEN[path] = spark
+    atexit.register(_forget, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that ``cut`` writes inside go at the end; results must be written before."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            _forget(path)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df`` in bytes: of the files that a scan reads, without a job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+
+
+def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
+    """Shuffle partitions of about ``each`` bytes; those of the session at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-input_bytes(df) // each)))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where ``df`` has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_enough(df: DataFrame, row_bytes: int, limit: int | None = None) -> bool:
     """Whether ``df`` (cheap to count: a written table or an aggregate) may be broadcast."""
     limit = BROADCAST_BYTES if limit is None else limit

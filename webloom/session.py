@@ -83,13 +83,14 @@ def scratch() -> Iterator[None]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The planner's size of ``df`` in bytes: of the files that a scan reads, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    """The planner's size of ``df`` in bytes: of the files that a scan reads, without a job; 0 if it has none."""
+    found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 0 if found >= 1 << 60 else found
 
 
 def partitions_for(df: DataFrame, each: int = 128 << 20) -> int:
     """Shuffle partitions of about ``each`` bytes; those of the session at least."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, -(-input_bytes(df) // each)))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // each))
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -37,7 +37,7 @@ def sets(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-# 1 ------------------------------------------------------------------------------------
+# 1
 def test_mix_hits_budgets(spark):
     rng = np.random.default_rng(1)
     rows = [(i, words(i, int(rng.integers(1, 60))), "en", "abc"[i % 3]) for i in range(600)] + [(i, t, "en", None) for i, t in ODD] + [(*LONG, "en", "a")]
@@ -94,7 +94,7 @@ def test_knapsack_is_the_best(spark):
         assert (take * lengths).sum() == max(x for x in reach if x <= rest)
 
 
-# 2 ------------------------------------------------------------------------------------
+# 2
 def test_language(spark):
     text = {"en": "the house and the garden with those other things there", "de": "das haus und der garten mit den anderen dingen dort", "fr": "la maison et le jardin avec les autres choses qui sont"}
     rng = np.random.default_rng(2)
@@ -108,7 +108,7 @@ def test_language(spark):
     assert language.identify(frame(spark, [(1, "abc", None, "s")])).first().lang == "und"
 
 
-# 3 ------------------------------------------------------------------------------------
+# 3
 def test_toxicity_on_held_out(spark):
     rng = np.random.default_rng(4)
     bad = [f"bad{i}" for i in range(30)]
@@ -131,7 +131,7 @@ def test_toxicity_on_held_out(spark):
     assert toxicity.toxicity(frame(spark, []), known).count() == 0
 
 
-# 4 ------------------------------------------------------------------------------------
+# 4
 def test_decontaminate_against_all_pairs(spark):
     items = [(i, words(1000 + i, 6 + i)) for i in range(25)] + [(30, None), (31, ""), (32, "two words"), (None, words(77, 12))]
     rows = [(i, words(i, 50)) for i in range(60)]
@@ -161,7 +161,7 @@ def test_decontaminate_against_all_pairs(spark):
     assert decontaminate.contained(frame(spark, []), bench).count() == 0
 
 
-# 5 ------------------------------------------------------------------------------------
+# 5
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(6)
     centers = rng.normal(size=(20, 32)) * 2
@@ -219,7 +219,7 @@ def test_neighbours_of_few(spark):
     assert {(r.vec_id, r.neighbor_id, r.distance) for r in got} == {(1, 2, 5.0), (2, 1, 5.0)}
 
 
-# 6 ------------------------------------------------------------------------------------
+# 6
 def clusters():
     rng, rows = np.random.default_rng(7), []
     for c in range(12):
@@ -242,32 +242,43 @@ def test_jaccard_join_against_all_pairs(spark):
                 sim = both / (len(own[i]) + len(own[j]) - both)
                 if sim >= 0.55:
                     want[i, j] = sim
-    joined = jaccard_join.jaccard_join(frame(spark, rows + ODD[:5]))
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard_join.pairs_of(joined).collect()}
+    found = jaccard_join.similar(frame(spark, rows + ODD[:5]))
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in jaccard_join.pairs_of(*found).collect()}
     assert got == pytest.approx(want) and len(want) > 100
     for t in (0.3, 0.8, 1.0):
-        some = {(r.doc_a, r.doc_b) for r in jaccard_join.pairs_of(jaccard_join.jaccard_join(frame(spark, rows), t)).collect()}
+        some = {(r.doc_id_a, r.doc_id_b) for r in jaccard_join.pairs_of(*jaccard_join.similar(frame(spark, rows), t)).collect()}
         assert some == {(i, j) for i in own for j in own if i < j and (b := len(own[i] & own[j])) and b / (len(own[i]) + len(own[j]) - b) >= t}
-    # one of each connected group stays
-    group = {i: i for i in own}
+    # links of every document, and the smallest of its connected group
+    group, links = {i: i for i in own}, Counter(i for pair in want for i in pair)
     for _ in own:
         for i, j in want:
             group[i] = group[j] = min(group[i], group[j])
-    drop = {r.doc_id for r in jaccard_join.copies_to_drop(joined).collect()}
-    assert drop == {i for i in own if group[i] != i}
+    joined = jaccard_join.jaccard_join(frame(spark, rows + ODD[:5])).collect()
+    assert sorted(map(tuple, joined)) == sorted((i, group[i], links[i]) for i in own if links[i])
+
+
+def test_jaccard_join_in_small_flushes(spark, monkeypatch):
+    """A gram of all documents, and flushes of few."""
+    rows = [(i, f"all of them {words(i % 9, 12, 50)}") for i in range(120)]
+    want = sorted(map(tuple, jaccard_join.jaccard_join(frame(spark, rows)).collect()))
+    monkeypatch.setattr(jaccard_join, "FLUSH_DOCS", 3)
+    monkeypatch.setattr(jaccard_join, "RANGE_BYTES", 100)
+    assert sorted(map(tuple, jaccard_join.jaccard_join(frame(spark, rows)).collect())) == want and len(want) == 120
 
 
 def test_jaccard_join_odd(spark):
     assert jaccard_join.jaccard_join(frame(spark, [])).count() == 0
     assert jaccard_join.jaccard_join(frame(spark, ODD)).count() == 0
-    assert jaccard_join.copies_to_drop(jaccard_join.jaccard_join(frame(spark, ODD))).count() == 0
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A, b c d!")]
-    assert [tuple(r) for r in jaccard_join.pairs_of(jaccard_join.jaccard_join(frame(spark, rows))).collect()] == [(1, 2, 1.0)]
+    assert sorted(map(tuple, jaccard_join.jaccard_join(frame(spark, rows)).collect())) == [(1, 1, 1), (2, 1, 1)]
+    # of the rows of an id, the one with the largest set counts
+    rows = [(1, "a b c d"), (1, "p q r s t u v"), (2, "a b c d"), (3, "p q r s t u v")]
+    assert sorted(map(tuple, jaccard_join.jaccard_join(frame(spark, rows)).collect())) == [(1, 1, 1), (3, 1, 1)]
     with pytest.raises(ValueError):
         jaccard_join.jaccard_join(frame(spark, rows), 0)
 
 
-# 7 ------------------------------------------------------------------------------------
+# 7
 def test_sharding_moves_little(spark):
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("old").alias("region"))
     tree = sharding.default_tree()
@@ -290,7 +301,7 @@ def test_sharding_odd(spark):
         sharding.edges({"a": (0, {})})
 
 
-# 8 ------------------------------------------------------------------------------------
+# 8
 def quality_rows():
     rng, rows = np.random.default_rng(9), []
     for i in range(600):
@@ -341,7 +352,7 @@ def test_kth_largest(spark):
         assert got == sorted(x, reverse=True)[k - 1] or k == 3000 and got == -math.inf
 
 
-# 9 ------------------------------------------------------------------------------------
+# 9
 def lcs(a, b):
     d = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a):
@@ -431,7 +442,7 @@ def test_html_diff_looks_beyond_copies(spark):
     assert got[10].paired_with == 1 and {got[i].paired_with for i in range(11, 500)} == {900}
 
 
-# 10 -----------------------------------------------------------------------------------
+# 10
 def test_line_dedup_against_brute_force(spark):
     rng = np.random.default_rng(12)
     rows = [(int(i), "\n".join(f" line {x} " if x % 2 else f"line {x}\r" for x in rng.integers(0, 80, rng.integers(1, 12)))) for i in rng.permutation(150)]
@@ -461,3 +472,25 @@ def test_line_dedup_against_brute_force(spark):
         flags = [k for n, k in zip(want[r.doc_id], [True, False] * len(want[r.doc_id])) for _ in range(n)]
         assert r.left == "\n".join(x for x, k in zip(r.text.split("\n"), flags) if k)
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
+
+
+def test_line_dedup_in_small_flushes(spark, monkeypatch):
+    """The same result whatever is dropped before the shuffle."""
+    rows = [(i, "hot\n" + words(i, 3, 5).replace(" ", "\n") + "\nhot") for i in range(60)] + [(3, "hot\n" + words(3, 3, 5).replace(" ", "\n") + "\nhot")]
+    want = sorted(map(repr, line_dedup.line_dedup(frame(spark, rows)).collect()))
+    monkeypatch.setattr(line_dedup, "FLUSH", 7)
+    assert sorted(map(repr, line_dedup.line_dedup(frame(spark, rows).repartition(5)).collect())) == want
+
+
+def test_line_hashes_do_not_collide_together(spark):
+    """Two lines with one 64-bit hash, made by undoing a round of it, differ in the other."""
+    m, p1, p2 = (1 << 64) - 1, 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F
+    step = lambda acc, x: (lambda y: ((y << 31 | y >> 33) & m) * p1 & m)((acc + x * p2) & m)
+    start, a, b = (42 + p1 + p2) & m, 1, 2
+    back = (step(start, a) - step(start, b)) * pow(p2, -1, 1 << 64) & m
+    lane = lambda x: x.to_bytes(8, "little")
+    rest = bytes(24)
+    one, two = lane(a) + rest + lane(5) + rest, lane(b) + rest + lane((5 + back) & m) + rest
+    h1, h2 = line_dedup.hashes(F.col("line"))
+    got = spark.createDataFrame([(bytearray(one),), (bytearray(two),)], "line binary").select(h1.alias("h1"), h2.alias("h2")).collect()
+    assert got[0].h1 == got[1].h1 and got[0].h2 != got[1].h2

@@ -3,11 +3,13 @@
 Exact: it finds every pair of documents whose sets of word n-grams have a Jaccard
 similarity of at least ``threshold``.
 
-1. Each task hashes its documents' n-grams to 48 bits and sends them, sorted and
-   delta-coded, to ranges of the hash (about 6 bytes a gram rather than a row).
-2. A range counts in how many documents each gram occurs and sends the grams of two
-   documents or more back to the documents they came from. A gram that only one
-   document has can't be shared; it only counts in sizes and positions.
+1. Each task hashes its documents' n-grams to 48 bits, some millions at a time, and sends
+   the distinct ones with how many of these documents have them, sorted and delta-coded, to
+   ranges of the hash. Which document has which gram goes to the flush's own group.
+2. A range adds up in how many documents each gram occurs and tells the flushes which of
+   their grams two documents or more have. A gram comes to its range once a flush, however
+   many documents have it. A gram that only one document has can't be shared; it only
+   counts in sizes and positions.
 3. Grams are ordered by document frequency (on a logarithmic scale), then hash. The
    prefix of a set of n grams is its first n - ceil(t n) + 1. A document whose prefix
    holds no shared gram is dropped here: it has no partner.
@@ -16,17 +18,19 @@ similarity of at least ``threshold``.
 5. Group pairs are expanded to their distinct sets, and those are verified in full, in
    blocks, so that a set travels once for many of its pairs.
 
-The result is the join in factored form: documents with the same set of grams stand
-together in one list, so thousands of copies make one row and not millions.
+Documents with the same set of grams (by a 128-bit hash of the sorted set) are one class,
+so thousands of copies aren't millions of pairs. ``similar`` returns the join in this form:
+the classes' members (``doc_id``, ``set_id``: the smallest doc_id of the class) and pairs
+of classes (``a``, ``b``, ``jaccard``). ``pairs_of`` expands them to single pairs.
 
-Columns: ``docs_a``, ``docs_b`` (sorted lists of doc_id), ``jaccard``. A row states that
-each document of ``docs_a`` and each other one of ``docs_b`` have this similarity; a row
-of copies has the same list twice. ``pairs_of`` expands to single pairs.
+``jaccard_join`` has a row for each document that has a partner: ``doc_id``, ``class_id``
+(the smallest doc_id of its connected group, through links of any number) and ``n_links``,
+how many other documents have the similarity with it, counted over all of them.
 
 Defined cases: a null doc_id, a null text and a text without words have no partner. A
 text of fewer than n words is one gram. Rows that repeat a doc_id count once, the one
-with the largest set. Columns other than ``doc_id`` and ``text`` are not looked at. An
-empty table gives an empty result.
+with the largest set, of equal sizes that with the larger hash. Columns other than
+``doc_id`` and ``text`` are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,59 +49,80 @@ from webloom.session import cut, maybe_broadcast
 
 BITS = 48
 FLUSH_GRAMS, FLUSH_DOCS, BLOCK = 2_000_000, 60_000, 1 << 17
+#: Bytes of text to a range: about two million grams.
+RANGE_BYTES = 12 << 20
 _SENT = "r int, flush long, kind int, body binary"
 _SENT_ARROW = pa.schema([("r", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
-_SETS = "doc_id long, n int, shared int, k int, prefix binary, fp long, grams array<long>"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("k", pa.int32()), ("prefix", pa.binary()), ("fp", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_SETS = "doc_id long, n int, shared int, k int, prefix binary, fp binary, grams array<long>"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("k", pa.int32()), ("prefix", pa.binary()), ("fp", pa.binary()), ("grams", pa.list_(pa.int64()))])
+#: Kinds of what is sent: distinct grams to a range, a flush's documents, its postings; an answer of a range.
+GRAMS, DOCS, POSTINGS, ANSWER = range(4)
+_DOC = np.dtype([("id", np.int64), ("n", np.int64), ("fp", "V16")])
 
 
-def _pack(tok: np.ndarray, *more: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers as 32-bit steps (or plainly, if a step is larger), then the other arrays."""
+def _pack(tok: np.ndarray) -> bytes:
+    """Sorted 48-bit numbers as 32-bit steps, or plainly, if a step is larger."""
     step = np.diff(tok, prepend=tok[:1])
     wide = bool(len(step)) and int(step.max()) >> 32 > 0
     head = np.array([len(tok), int(wide), int(tok[0]) if len(tok) else 0], np.int64).tobytes()
-    return head + (tok.tobytes() if wide else step.astype(np.uint32).tobytes()) + b"".join(x.tobytes() for x in more)
+    return head + (tok.tobytes() if wide else step.astype(np.uint32).tobytes())
 
 
-def _unpack(body: bytes, *kinds: type) -> list[np.ndarray]:
-    n, wide, first = (int(x) for x in np.frombuffer(body, np.int64, 3))
-    at = 24
+def _unpack(body: bytes, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers, and where they end."""
+    n, wide, first = (int(x) for x in np.frombuffer(body, np.int64, 3, at))
+    at += 24
     if wide:
-        out = [np.frombuffer(body, np.uint64, n, at)]
-        at += 8 * n
-    else:
-        out = [np.cumsum(np.frombuffer(body, np.uint32, n, at), dtype=np.uint64) + np.uint64(first)]
-        at += 4 * n
-    for kind in kinds:
-        out.append(np.frombuffer(body, kind, n, at))
-        at += n * np.dtype(kind).itemsize
-    return out
+        return np.frombuffer(body, np.uint64, n, at), at + 8 * n
+    return np.cumsum(np.frombuffer(body, np.uint32, n, at), dtype=np.uint64) + np.uint64(first), at + 4 * n
+
+
+def _pack_times(times: np.ndarray) -> bytes:
+    """Numbers of which most are 1: the places and values of the others."""
+    some = np.flatnonzero(times > 1)
+    return np.array([len(times), len(some)], np.int64).tobytes() + some.astype(np.uint32).tobytes() + times[some].astype(np.uint16).tobytes()
+
+
+def _unpack_times(body: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, some = (int(x) for x in np.frombuffer(body, np.int64, 2, at))
+    out = np.ones(n, np.int64)
+    out[np.frombuffer(body, np.uint32, some, at + 16)] = np.frombuffer(body, np.uint16, some, at + 16 + 4 * some)
+    return out, at + 16 + 6 * some
+
+
+def _table(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(x, t.type) for x, t in zip(zip(*rows) if rows else [[]] * 4, _SENT_ARROW)]
 
 
 def _send(n_grams: int, ranges: int):
-    """Documents to (range, flush, body): their distinct grams, and for each flush its list of documents."""
+    """Documents to (range, flush, kind, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seq = TaskContext.get().partitionId(), 0
-        ids, sizes, prints, toks, held = [], [], [], [], 0
+        docs, toks, held = [], [], 0
 
         def flush():
             nonlocal seq, held
             key = (task << 24) | seq
             seq += 1
             tok = np.concatenate(toks)
-            doc = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-            order = np.argsort(tok)
+            doc = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(t) for t in toks])
+            order = np.argsort(tok, kind="stable")
             tok, doc = tok[order], doc[order]
+            first = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
+            times, tok = np.diff(np.r_[first, len(tok)]), tok[first]
             width = -(-(1 << BITS) // ranges)
-            bound = np.searchsorted(tok, np.arange(ranges + 1, dtype=np.uint64) * np.uint64(width))
-            full = [r for r in range(ranges) if bound[r] < bound[r + 1]]
-            rows = [(r, key, 0, _pack(tok[bound[r] : bound[r + 1]], doc[bound[r] : bound[r + 1]])) for r in full]
-            rows.append((key % ranges, key, 1, np.array([ids, sizes, prints], np.int64).tobytes()))
-            for x in (ids, sizes, prints, toks):
-                x.clear()
+            place = (tok // np.uint64(width)).astype(np.int64)
+            start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            rows = []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(tok)]):
+                rows.append((int(place[a]), key, GRAMS, np.int64(a).tobytes() + _pack(tok[a:b]) + _pack_times(times[a:b])))
+            rows.append((key % ranges, key, DOCS, np.array(docs, _DOC).tobytes()))
+            rows.append((key % ranges, key, POSTINGS, _pack_times(times) + doc.tobytes()))
+            docs.clear()
+            toks.clear()
             held = 0
-            return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _SENT_ARROW)], schema=_SENT_ARROW)
+            return pa.RecordBatch.from_arrays(_table(rows), schema=_SENT_ARROW)
 
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -109,14 +134,12 @@ def _send(n_grams: int, ranges: int):
                     s = np.unique(g[off[i] : off[i + 1]])
                     if not len(s):
                         continue
-                    ids.append(int(doc_ids[at + i]))
-                    sizes.append(len(s))
-                    prints.append(int(textvec.mix(s).sum().view(np.int64)))
+                    docs.append((int(doc_ids[at + i]), len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest()))
                     toks.append(s)
                     held += len(s)
-                    if held >= FLUSH_GRAMS or len(ids) >= FLUSH_DOCS:
+                    if held >= FLUSH_GRAMS or len(docs) >= FLUSH_DOCS:
                         yield flush()
-        if ids:
+        if docs:
             yield flush()
         textvec.release()
 
@@ -124,49 +147,61 @@ def _send(n_grams: int, ranges: int):
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """In a range: send the grams of two documents or more back to their flushes, with their frequency."""
+    """In a range: tell the flushes which of their grams two documents or more have, with the frequency."""
     kinds, keys, bodies = (table.column(c).to_pylist() for c in ("kind", "flush", "body"))
-    rows = [(-1, k, 1, b) for k, kind, b in zip(keys, kinds, bodies) if kind == 1]
-    parts = [(k, *_unpack(b, np.uint16)) for k, kind, b in zip(keys, kinds, bodies) if kind == 0]
+    rows = [(-1, k, kind, b) for k, kind, b in zip(keys, kinds, bodies) if kind != GRAMS]
+    parts = []
+    for k, kind, b in zip(keys, kinds, bodies):
+        if kind == GRAMS:
+            tok, at = _unpack(b, 8)
+            parts.append((k, b[:8], tok, _unpack_times(b, at)[0]))
     if parts:
-        tok = np.concatenate([p[1] for p in parts])
+        tok = np.concatenate([p[2] for p in parts])
         order = np.argsort(tok)
         s = tok[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        times = np.diff(np.r_[first, len(s)])
+        total = np.add.reduceat(np.concatenate([p[3] for p in parts])[order], first)
         df = np.empty(len(s), np.int64)
-        df[order] = np.repeat(times, times)
+        df[order] = np.repeat(total, np.diff(np.r_[first, len(s)]))
         rank = np.minimum(255, np.floor(16 * np.log2(df))).astype(np.uint8)  # df 1 is 0; monotone in df
-        shared = df >= 2
         at = 0
-        for k, t, d in parts:
-            keep = shared[at : at + len(t)]
+        for k, start, t, _ in parts:
+            keep = df[at : at + len(t)] >= 2
             if keep.any():
-                rows.append((-1, k, 0, _pack(t[keep], d[keep], rank[at : at + len(t)][keep])))
+                rows.append((-1, k, ANSWER, start + np.int64(len(t)).tobytes() + np.packbits(keep).tobytes() + _pack(t[keep]) + rank[at : at + len(t)][keep].tobytes()))
             at += len(t)
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
     textvec.release()
-    return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(cols, _SENT_ARROW)], schema=_SENT_ARROW)
+    return pa.Table.from_arrays(_table(rows), schema=_SENT_ARROW)
 
 
 def _prefixes(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         kinds, bodies = table.column("kind").to_pylist(), table.column("body").to_pylist()
-        docs = np.concatenate([np.frombuffer(b, np.int64).reshape(3, -1) for b, k in zip(bodies, kinds) if k == 1], axis=1)
-        parts = [_unpack(b, np.uint16, np.uint8) for b, k in zip(bodies, kinds) if k == 0]
+        docs = np.frombuffer(bodies[kinds.index(DOCS)], _DOC)
+        postings = bodies[kinds.index(POSTINGS)]
+        times, at = _unpack_times(postings, 0)
+        doc = np.frombuffer(postings, np.uint16, int(times.sum()), at)
+        tok, rank, shared = np.zeros(len(times), np.uint64), np.zeros(len(times), np.uint8), np.zeros(len(times), bool)
+        for b, kind in zip(bodies, kinds):
+            if kind == ANSWER:
+                start, many = (int(x) for x in np.frombuffer(b, np.int64, 2))
+                here = start + np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8, -(-many // 8), 16), count=many))
+                t, at = _unpack(b, 16 - (-many // 8))
+                tok[here], rank[here], shared[here] = t, np.frombuffer(b, np.uint8, len(t), at), True
         out: list[list] = [[] for _ in _SETS_ARROW]
-        if parts:
-            tok, doc, rank = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if shared.any():
+            mine = np.repeat(shared, times)
+            doc, tok, rank = doc[mine], np.repeat(tok[shared], times[shared]), np.repeat(rank[shared], times[shared])
             order = np.lexsort((tok, rank, doc))
             tok, doc = tok[order].view(np.int64), doc[order]
-            size = np.bincount(doc, minlength=docs.shape[1])
+            size = np.bincount(doc, minlength=len(docs))
             start = np.r_[0, np.cumsum(size)]
-            n = docs[1]
+            n = docs["n"]
             prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
             k = np.minimum(prefix - (n - size), size)
             for i in np.flatnonzero(k > 0):
-                mine = tok[start[i] : start[i + 1]]
-                for col, x in zip(out, (docs[0, i], n[i], size[i], k[i], hashlib.blake2b(mine[: k[i]].tobytes(), digest_size=16).digest(), docs[2, i], mine)):
+                grams = tok[start[i] : start[i + 1]]
+                for col, x in zip(out, (docs["id"][i], n[i], size[i], k[i], hashlib.blake2b(grams[: k[i]].tobytes(), digest_size=16).digest(), docs["fp"][i].tobytes(), grams)):
                     col.append(x)
         textvec.release()
         return pa.Table.from_arrays([pa.array(x, t.type) for x, t in zip(out, _SETS_ARROW)], schema=_SETS_ARROW)
@@ -174,13 +209,12 @@ def _prefixes(threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> DataFrame:
-    """All pairs of documents with an n-gram Jaccard similarity of ``threshold`` or more, factored."""
+def similar(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, set_id) of the classes of equal sets, and pairs (a, b, jaccard) of different classes."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     docs = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
-    # about 2 million grams a range, whatever the size of the corpus
-    ranges = min(1 << 20, max(16, docs.count() // 4000))
+    ranges = max(16, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
     sent = docs.mapInArrow(_send(n, ranges), _SENT)
     back = sent.groupBy("r").applyInArrow(_count, _SENT)
     sets = cut(back.groupBy("flush").applyInArrow(_prefixes(threshold), _SETS), "jaccard-sets")
@@ -188,8 +222,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> DataFr
         best = sets.groupBy("doc_id").agg(F.max_by(F.struct(*sets.columns[1:]), F.struct("n", "fp")).alias("s"))
         sets = cut(best.select("doc_id", "s.*"), "jaccard-once")
     key = ["prefix", "n", "shared"]
-    classes = sets.groupBy(*key, "fp").agg(F.min("doc_id").alias("c"), F.sort_array(F.collect_list("doc_id")).alias("members"))
-    classes = cut(classes.withColumn("g", F.min("c").over(Window.partitionBy(*key))).select("g", "c", "n", "members"), "jaccard-classes")
+    classes = sets.groupBy("fp").agg(F.min("doc_id").alias("c"), F.count("*").alias("many"), *[F.first(c).alias(c) for c in key])
+    classes = cut(classes.withColumn("g", F.min("c").over(Window.partitionBy(*key))).select("g", "c", "n", "many", "fp"), "jaccard-classes")
+    # only sets of several documents need a join to tell their class
+    many = classes.where("many > 1").select("fp", F.col("c").alias("first"))
+    members = cut(sets.select("doc_id", "fp").join(maybe_broadcast(many, 64), "fp", "left").select("doc_id", F.coalesce("first", "doc_id").alias("set_id")), "jaccard-members")
     first = sets.select("doc_id", "n", (F.col("n") - F.col("shared")).alias("before"), F.slice("grams", F.lit(1), F.col("k")).alias("grams"))
     reps = first.join(maybe_broadcast(classes.select(F.col("g").alias("doc_id")).distinct(), 32), "doc_id")
     steps = F.arrays_zip(F.col("grams").alias("gram"), F.concat(F.array(F.lit(-1).cast("long")), F.slice("grams", F.lit(1), F.size("grams") - 1)).alias("last"))
@@ -207,11 +244,19 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> DataFr
     across = groups.join(ca, "ga").join(cb, "gb").select("a", "b", "na", "nb")
     inside = ca.join(cb, (F.col("ga") == F.col("gb")) & (F.col("a") < F.col("b"))).select("a", "b", "na", "nb")
     pairs = _verified(cut(across.union(inside), "jaccard-pairs"), sets.select("doc_id", "n", "grams"), threshold)
-    ma = classes.select(F.col("c").alias("a"), F.col("members").alias("docs_a"))
-    mb = classes.select(F.col("c").alias("b"), F.col("members").alias("docs_b"))
-    lists = pairs.join(ma, "a").join(mb, "b").select("docs_a", "docs_b", "jaccard")
-    copies = classes.where(F.size("members") > 1).select(F.col("members").alias("docs_a"), F.col("members").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return lists.select(F.when(F.col("docs_a")[0] < F.col("docs_b")[0], F.struct("docs_a", "docs_b")).otherwise(F.struct(F.col("docs_b").alias("docs_a"), F.col("docs_a").alias("docs_b"))).alias("p"), "jaccard").select("p.*", "jaccard").union(copies)
+    return members, cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard"), "jaccard-found")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.55, n: int = 3) -> DataFrame:
+    """doc_id, class_id and n_links of every document that has a partner."""
+    members, pairs = similar(docs, threshold, n)
+    sizes = members.groupBy("set_id").agg(F.count("*").alias("many"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    links = both.join(sizes.withColumnRenamed("set_id", "b"), "b").groupBy("a").agg(F.sum("many").alias("others"))
+    per_set = sizes.join(links.withColumnRenamed("a", "set_id"), "set_id", "left").join(groups_of(pairs), "set_id", "left")
+    per_set = per_set.select("set_id", F.coalesce("group_id", "set_id").alias("class_id"), (F.col("many") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")).where("n_links > 0")
+    per_set = cut(per_set, "jaccard-per-set")
+    return members.join(maybe_broadcast(per_set, 48), "set_id").select("doc_id", "class_id", "n_links")
 
 
 _PAIRS = "a long, b long, jaccard double"
@@ -269,38 +314,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return placed.groupBy("x", "y").cogroup(sent.groupBy("p", "q")).applyInArrow(_verify(threshold), _PAIRS)
 
 
-def pairs_of(joined: DataFrame) -> DataFrame:
-    """Single pairs (doc_a < doc_b, jaccard) from the factored result."""
-    x = joined.select("jaccard", F.explode("docs_a").alias("x"), "docs_b").select("jaccard", "x", F.explode("docs_b").alias("y")).where("x != y")
-    return x.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard").distinct()
+def pairs_of(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Single pairs (doc_id_a < doc_id_b, jaccard) from the result of ``similar``."""
+    x = members.select(F.col("doc_id").alias("x"), F.col("set_id").alias("a"))
+    y = members.select(F.col("doc_id").alias("y"), F.col("set_id").alias("b"))
+    copies = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y", F.lit(1.0).alias("jaccard"))
+    found = pairs.join(x, "a").join(y, "b").select("x", "y", "jaccard").union(copies)
+    return found.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
 
 
-def copies_to_drop(joined: DataFrame) -> DataFrame:
-    """doc_id of every document but the smallest of each connected group of the join.
+def groups_of(pairs: DataFrame) -> DataFrame:
+    """(set_id, group_id) of every class that has a pair: the smallest of its connected group.
 
     Every round takes the smallest label among neighbours and then follows labels to
     their own label (pointer jumping), so the rounds grow with the logarithm of the
     longest chain; each round is a written table.
     """
-    # a class of copies has a row of its own, so other rows need only link the first of each list
-    first_a, first_b = F.col("docs_a")[0], F.col("docs_b")[0]
-    across = joined.select(first_a.alias("u"), first_b.alias("v"))
-    edges = across.union(joined.where(first_a == first_b).select(first_a, F.explode("docs_a"))).where("u != v").distinct()
-    both = cut(edges.union(edges.select("v", "u")).distinct(), "links")
+    both = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a")), "links")
     label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("label")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        step = label.join(near, "u").select("u", F.least("label", "m").alias("label"))
+        step = label.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = step.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        after = cut(step.join(up, "label", "left").select("u", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        changed = after.join(label.withColumnRenamed("label", "old"), "u").where("label != old")
-        if changed.isEmpty():
-            return after.where("u != label").select(F.col("u").alias("doc_id"))
-        label = after
+        after = cut(step.join(up, "label", "left").select("u", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        if after.where("label != old").isEmpty():
+            return after.select(F.col("u").alias("set_id"), F.col("label").alias("group_id"))
+        label = after.select("u", "label")
 
 
 ORACLE = f"""
-with w as (
+with recursive w as (
   select doc_id, list_filter(string_split_regex(lower(text), '[{textvec.SEPARATORS}]+'), lambda x: x <> '') as ws
   from documents where doc_id is not null and text is not null
 ), s as (
@@ -313,8 +356,10 @@ with w as (
 o as (
   select a.c as a, b.c as b, a.n as na, b.n as nb, count(*) as inter
   from t a join t b on a.gram = b.gram and a.c < b.c group by all
-), p as (select a, b, inter / (na + nb - inter) as jaccard from o where inter / (na + nb - inter) >= 0.55)
-select x.members as docs_a, y.members as docs_b, jaccard from p join c x on x.c = p.a join c y on y.c = p.b
-union all
-select members, members, 1.0::double from c where len(members) > 1
+), p as (select a, b from o where inter / (na + nb - inter) >= 0.55),
+e as (select a, b from p union all select b, a from p),
+r as (select c as x, c as y from c union select r.x, e.b from r join e on e.a = r.y),
+k as (select x, min(y) as class_id from r group by x),
+m as (select c.c, len(members) - 1 + coalesce((select sum(len(d.members)) from e join c d on d.c = e.b where e.a = c.c), 0) as n_links from c)
+select unnest(c.members) as doc_id, k.class_id, m.n_links::bigint as n_links from c join k on k.x = c.c join m on m.c = c.c where m.n_links > 0
 """

@@ -12,10 +12,9 @@ which can't draw them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from webloom.llm import decontaminate, jaccard_join, mixing, quality, sharding
-from webloom.session import cut, maybe_broadcast, table
+from webloom.session import cut, maybe_broadcast, table, unused
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +24,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near duplicates."""
-    joined = cut(jaccard_join.jaccard_join(docs), "pipeline-pairs")
-    drop = cut(jaccard_join.copies_to_drop(joined).select(F.col("doc_id").alias("_drop")), "pipeline-copies")
-    return docs.join(maybe_broadcast(drop, 32), docs["doc_id"].cast("long") == drop["_drop"], "left_anti")
+    drop = cut(jaccard_join.jaccard_join(docs).where("doc_id != class_id").select("doc_id"), "pipeline-copies")
+    (gone,) = unused(docs, "gone")
+    drop = drop.withColumnRenamed("doc_id", gone)
+    return docs.join(maybe_broadcast(drop, 32), docs["doc_id"].cast("long") == drop[gone], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,11 @@
    it has.
 3. In each source, lengths in descending order give cumulative quotas: of the first C
    documents, floor(f C) are taken, f being (budget - slack) / tokens and the slack one
-   longest length (more if that doesn't fit; in the end all of a small budget). That
-   leaves less than the slack and one longest length. A bounded-knapsack dynamic programme over the
-   documents left fits what remains as nearly as it can, nearly always exactly.
+   longest length (4, 16, ... of them, to all of the budget, until the budget is met
+   exactly). A bounded-knapsack dynamic programme over the documents left fits what
+   remains as nearly as it can. Sums that can be reached are the bits of one number, and
+   the way to the best one is found by division (``knapsack``), so memory is a few times
+   (rest / 8) bytes and no size of text or budget makes the fit worse.
 4. Of each (source, length), the documents with the smallest seeded hashes are taken, as
    many as the count says. The cut is a hash value per (source, length), so the selection
    is a map over the documents: no text is shuffled. Groups of more than ``BUCKET``
@@ -24,7 +26,7 @@ Defined cases: null or blank texts and null ids have no tokens to give and are l
 A null source is the source "". Rows that repeat a doc_id, source and length are drawn
 together; where they lie across the cut all are left out, so a budget is never exceeded.
 Sources without a target weight are left out; a weighted source without documents gets
-nothing. Extra columns are kept by ``mixed``. An empty table gives an empty result.
+nothing. Extra columns are kept by ``mixed``, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,18 +36,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.session import cut, maybe_broadcast
+from webloom.session import cut, maybe_broadcast, unused
 
 ALPHA = 0.7
 SHORT = 0.1
 SEED = 17
 BUCKET = 1_000_000
-TABLE = 1 << 22
+KEEP_BYTES = 64 << 20
 
 
 def n_tokens(text: Column) -> Column:
-    words = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+")
-    return F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0, F.lit(0)).when(text.rlike(r"\S"), F.size(words)).otherwise(F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -57,11 +58,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget <= 0:
         return np.zeros_like(counts)
     longest = int(lengths[counts > 0].max())
-    best, order = np.zeros_like(counts), np.argsort(-lengths, kind="stable")
-    for slack in (1, 4, 16, 64):  # the programme gets more documents to choose from until it fits
+    best, order, slack = np.zeros_like(counts), np.argsort(-lengths, kind="stable"), 1
+    while True:  # the programme gets more documents to choose from until it fits
         bulk = max(0, budget - longest * slack)
-        if slack > 1 and budget - bulk > TABLE:
-            break
         quota = np.array([int(c) * bulk // total for c in np.cumsum(counts[order]).tolist()], np.int64)  # exact: Python integers
         take = np.zeros_like(counts)
         take[order] = np.diff(quota, prepend=0)
@@ -69,38 +68,60 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if (lengths * take).sum() > (lengths * best).sum():
             best = take
         if bulk == 0 or (lengths * best).sum() == budget:
-            break
-    return best
+            return best
+        slack *= 4
+
+
+def _reached(parts: list[tuple[int, int]], reach: int, rest: int) -> int:
+    """The sums up to ``rest`` (bits) that sums of ``reach`` and of the parts have."""
+    full = (1 << (rest + 1)) - 1
+    for _, size in parts:
+        reach |= (reach << size) & full
+    return reach
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, rest: int) -> np.ndarray:
-    """Bounded subset sum: counts per length whose sum is the largest that is at most ``rest``."""
-    reach = np.zeros(rest + 1, bool)
-    reach[0] = True
-    by = np.full(rest + 1, -1, np.int64)  # the part that first reached a sum
-    parts: list[tuple[int, int]] = []
+    """Bounded subset sum: counts per length whose sum is the largest that is at most ``rest``.
+
+    Counts are split into powers of two. As many sets of sums are kept as ``KEEP_BYTES`` hold
+    (two at least); between them they are computed again, in ever shorter runs of parts.
+    """
+    parts: list[tuple[int, int]] = []  # (place << 32 | how many, their sum)
+    reach, full = 1, (1 << (rest + 1)) - 1
     for i in np.argsort(-lengths, kind="stable"):
-        length, left = int(lengths[i]), int(min(counts[i], rest // max(1, int(lengths[i]))))
-        if length > rest or length <= 0:
+        length = int(lengths[i])
+        if length <= 0 or length > rest:
             continue
-        many = 1
-        while left > 0 and not reach[rest]:
+        left, many = min(int(counts[i]), rest // length), 1
+        while left > 0 and not reach >> rest & 1:
             many = min(many, left)
-            step = length * many
-            new = reach[: rest + 1 - step] & ~reach[step:]
-            by[step:][new] = len(parts)
-            reach[step:] |= new
-            parts.append((int(i), many))
+            parts.append(((int(i) << 32) | many, length * many))
+            reach |= (reach << (length * many)) & full
             left -= many
             many *= 2
-        if reach[rest]:
+        if reach >> rest & 1:
             break
     take = np.zeros(len(lengths), np.int64)
-    at = int(np.flatnonzero(reach)[-1])
-    while at:
-        i, many = parts[by[at]]
-        take[i] += many
-        at -= int(lengths[i]) * many
+    todo = [(0, len(parts), 1, reach.bit_length() - 1)]  # a run of parts, the sums before it and the sum after it
+    while todo:
+        lo, hi, before, goal = todo.pop()
+        before &= (1 << (goal + 1)) - 1
+        if before >> goal & 1:
+            todo += [(0, lo, 1, goal)] if lo and goal else []
+            continue
+        if hi - lo == 1:
+            what, size = parts[lo]
+            take[what >> 32] += what & 0xFFFFFFFF
+            todo += [(0, lo, 1, goal - size)] if lo and goal > size else []
+            continue
+        runs = min(hi - lo, max(2, KEEP_BYTES // (goal // 8 + 1)), int((hi - lo) ** 0.5) + 2)
+        edges = [lo + (hi - lo) * k // runs for k in range(runs + 1)]
+        states = [before]
+        for a, b in zip(edges[:-2], edges[1:-1]):
+            states.append(_reached(parts[a:b], states[-1], goal))
+        # the first run after which the goal is reached
+        k = next((k for k in range(1, runs) if states[k] >> goal & 1), runs)
+        todo.append((edges[k - 1], edges[k], states[k - 1], goal))
     return take
 
 
@@ -169,7 +190,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, total:
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """The selected rows with all their columns, by a filter over the input."""
     _, at = cuts(docs, weights, total, alpha, seed)
-    at = at.select(F.col("src").alias("_src"), F.col("len").alias("_len"), F.col("cut").alias("_cut"))
-    rows = docs.withColumns({"_src": F.coalesce("source", F.lit("")), "_len": n_tokens(F.col("text"))}).where("doc_id is not null and _len > 0")
-    rows = rows.join(maybe_broadcast(at, 64), ["_src", "_len"]).where(F.shiftrightunsigned(_hash(seed), 1) <= F.col("_cut"))
+    src, size, last = unused(docs, "src", "len", "cut")
+    at = at.select(F.col("src").alias(src), F.col("len").alias(size), F.col("cut").alias(last))
+    rows = docs.withColumns({src: F.coalesce("source", F.lit("")), size: n_tokens(F.col("text"))}).where(F.col("doc_id").isNotNull() & (F.col(size) > 0))
+    rows = rows.join(maybe_broadcast(at, 64), [src, size]).where(F.shiftrightunsigned(_hash(seed), 1) <= F.col(last))
     return rows.select(*docs.columns)

@@ -94,6 +94,47 @@ def test_knapsack_is_the_best(spark):
         assert (take * lengths).sum() == max(x for x in reach if x <= rest)
 
 
+def test_fit_of_long_texts():
+    """Few long lengths: the best sum, by all combinations; and memory that doesn't hold all sets of sums."""
+    lengths, counts, budget = np.array([700_001, 1_000_003, 1_500_003]), np.array([4, 4, 4]), 9_000_259
+    sums = [a * 700_001 + b * 1_000_003 + c * 1_500_003 for a in range(5) for b in range(5) for c in range(5)]
+    assert (mixing.fit(lengths, counts, budget) * lengths).sum() == max(s for s in sums if s <= budget)
+    rng = np.random.default_rng(5)
+    lengths, counts = np.unique(rng.integers(1, 20_000, 300)), None
+    counts = rng.integers(1, 9, len(lengths))
+    budget = int((lengths * counts).sum() * 0.37)
+    take = mixing.fit(lengths, counts, budget)
+    assert (take * lengths).sum() == budget and (take <= counts).all() and (take >= 0).all()
+
+
+def test_knapsack_with_little_memory(monkeypatch):
+    monkeypatch.setattr(mixing, "KEEP_BYTES", 8)
+    test_knapsack_is_the_best(None)
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    rows = [(i, words(i, 4 + i % 5), "ab"[i % 2], "SRC", 7, "CUT", -1) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _src string, len int, _cut string, src int")
+    got = mixing.mixed(df, {"a": 1, "b": 1}, 100)
+    assert got.columns == df.columns and got.count() > 5
+    assert {(r["_src"], r["len"], r["_cut"], r["src"]) for r in got.collect()} == {("SRC", 7, "CUT", -1)}
+
+
+def test_mix_draw_is_by_hash(spark):
+    """Of each source and length those with the least seeded hashes, as many as the plan says."""
+    rows = [(i, words(i, 5 + i % 3), "en", "ab"[i % 2]) for i in range(300)]
+    docs = frame(spark, rows)
+    got = {r.doc_id for r in mixing.mix_sources(docs, {"a": 2, "b": 1}, 900).collect()}
+    h = {r.doc_id: r.h for r in docs.select("doc_id", F.shiftrightunsigned(mixing._hash(mixing.SEED), 1).alias("h")).collect()}
+    for s in "ab":
+        mine = [(len(t.split()), i) for i, t, _, x in rows if x == s]
+        have = Counter(n for n, _ in mine)
+        sizes = np.array(sorted(have))
+        take = mixing.fit(sizes, np.array([have[n] for n in sizes.tolist()]), 600 if s == "a" else 300)
+        for n, k in zip(sizes.tolist(), take.tolist()):
+            assert sorted(got & {i for m, i in mine if m == n}) == sorted(sorted((i for m, i in mine if m == n), key=h.get)[:k])
+
+
 # 2
 def test_language(spark):
     text = {"en": "the house and the garden with those other things there", "de": "das haus und der garten mit den anderen dingen dort", "fr": "la maison et le jardin avec les autres choses qui sont"}
@@ -131,6 +172,53 @@ def test_toxicity_on_held_out(spark):
     assert toxicity.toxicity(frame(spark, []), known).count() == 0
 
 
+def test_toxicity_of_one_positive(spark):
+    """One confirmed document is enough to find it and its copies, and leaves others alone."""
+    rows = [(i, words(i, 30, 200)) for i in range(200)] + [(500, "vile nasty awful brutal horrid things to say"), (501, "vile nasty awful brutal horrid words to hear")]
+    got = {r.doc_id: r.toxic for r in toxicity.toxicity(frame(spark, rows), labels(spark, [(500, 1, 1, "x"), (1, 1, 0, "x"), (2, 1, 0, "x"), (3, 1, 0, "x")])).collect()}
+    assert got[500] and got[501] and sum(got.values()) <= 6
+
+
+def test_toxicity_columns_may_clash(spark):
+    rows = [(i, f"{'foul' if i % 3 == 0 else 'fine'} {words(i, 5)}", True, i, 1, 2.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pos boolean, id long, b int, norm double")
+    got = toxicity.toxicity(df, labels(spark, [(i, 1, int(i % 3 == 0), "x") for i in range(30)]))
+    assert got.columns == ["doc_id", "score", "toxic"] and all(r.toxic == (r.doc_id % 3 == 0) for r in got.collect())
+
+
+def test_toxicity_risk_and_gradient():
+    """The risk of each document alone, and its change by small steps of every weight."""
+    import pyarrow as pa
+
+    texts = [words(i, 12, 30) for i in range(40)] + ["", "one word word"]
+    pos = np.array([i % 4 == 0 for i in range(42)])
+    doc, b, c = toxicity.features(pa.array(texts, pa.large_string()))
+    used, at = np.unique(b, return_inverse=True)
+    rng = np.random.default_rng(2)
+    norm = np.bincount(doc, np.log1p(c) ** 2, 42) ** 0.25
+    x = np.log1p(c) / norm[doc]
+    dense = np.zeros((42, len(used)))
+    dense[doc, at] = x
+
+    def risk(w, bias, prior):
+        z = dense @ w + bias
+        loss = lambda v: math.log1p(math.exp(-v))
+        rest = sum(loss(-v) for v in z) / 42 - prior * sum(loss(-v) for v in z[pos]) / pos.sum()
+        return prior * sum(loss(v) for v in z[pos]) / pos.sum(), rest
+
+    for scale, prior in ((0.3, 0.2), (3.0, 0.9)):
+        w, bias = rng.normal(size=len(used)) * scale + (pos @ dense > 0) * (scale > 1), 0.1
+        model = toxicity.Model(w, np.ones(len(used)), bias)
+        got, g = toxicity.step(*toxicity.sums(model, pos, doc, at, x, 42), prior)
+        toxic, rest = risk(w, bias, prior)
+        assert got == pytest.approx(toxic + max(0, rest))
+        part = (lambda *v: sum(risk(*v))) if rest >= 0 else (lambda *v: -risk(*v)[1])
+        for j in [*range(0, len(used), 7), len(used)]:
+            move = np.eye(len(used) + 1)[j] * 1e-5
+            near = (part(w + move[:-1], bias + move[-1], prior) - part(w - move[:-1], bias - move[-1], prior)) / 2e-5
+            assert g[j] == pytest.approx(near, abs=1e-6)
+
+
 # 4
 def test_decontaminate_against_all_pairs(spark):
     items = [(i, words(1000 + i, 6 + i)) for i in range(25)] + [(30, None), (31, ""), (32, "two words"), (None, words(77, 12))]

@@ -107,10 +107,12 @@ def _pieces(b: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(texts: pa.Array, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def words(texts: pa.Array, punctuation: bool = False, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and for each text the offset of its first (one more at the end).
 
-    With ``punctuation``, runs of separators other than blanks are words too.
+    With ``punctuation``, runs of separators other than blanks are words too. With
+    ``stems``, the hashes have a row for the words and one for each number of bytes: the
+    hash of the word's beginning of that length, or the word's own where it is no longer.
     """
     b, off = raw(texts)
     hashes, counts = [], np.zeros(len(off) - 1, np.int64)
@@ -135,12 +137,14 @@ def words(texts: pa.Array, punctuation: bool = False) -> tuple[np.ndarray, np.nd
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((c.astype(np.uint64) + np.uint64(1)) * _POW[:n], out=total[1:])
-        hashes.append(mix((total[stop] - total[start]) * _IPOW[start]))
+        ends = [stop, *(np.minimum(start + k, stop) for k in stems)]
+        hashes.append(np.stack([mix((total[e] - total[start]) * _IPOW[start]) for e in ends]) if stems else mix((total[stop] - total[start]) * _IPOW[start]))
         doc = np.searchsorted(off, start + lo, "right") - 1
         counts += np.bincount(doc, minlength=len(counts))
     at = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=at[1:])
-    return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), at
+    none = np.empty((1 + len(stems), 0) if stems else 0, np.uint64)
+    return np.concatenate([none, *hashes], axis=-1), at
 
 
 _K = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(_B)) | np.uint64(1)

@@ -1,29 +1,27 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (operator 4).
 
-Documents are partitioned by the size of their shingle set, in powers of two. In the
-partition of sizes 2**p to 2**(p+1) a signature is a one-permutation MinHash of 2**(p+5)
-bins: the least hash in each bin. The bins grow with the sets, so a bin holds at most a
-sixteenth of a shingle of a document of any length, and an item of ten shingles inside a
-document of ten thousand is as sure to be seen as inside one of twenty. A plain MinHash
-of fixed length would miss it: the Jaccard similarity of the two is 0.001. An item has
-one signature per partition; one common minimum makes a candidate (bands of one row),
-and candidates are verified by the exact containment of the item's shingles.
-
-A shingle found in a document survives in its signature with a chance of 0.94 or more,
-so a pair that shares m shingles is missed with at most 0.06**m: 8e-7 for an item of
-eight shingles. Items of fewer than ``SHORT`` shingles have no signature: all of their
-shingles are looked up in the document's whole set, which misses none.
-
-One pass over the documents; nothing is shuffled. The items' signatures go to the
-executors as a broadcast whose size is bounded: a benchmark of more than
-``BLOCK_ITEMS`` items is searched in several blocks, each a pass.
+An item's signature is a bottom-k MinHash: the k least hashes of its set of word shingles.
+k depends on the item's size: a document that holds a share t of an item's q shingles holds
+c = ceil(t q) of them, so of any q - c + 1 it holds one at least. With k = q - c + 1 no pair
+is missed, however short the item and however long the document; a signature has about a
+share 1 - t of the set.
+
+Items are partitioned by c in powers of two. A document of n shingles looks into the
+partitions up to n, with its own signature there: its hashes up to the largest that any
+signature of the partition has. One common hash makes a candidate, and candidates are
+verified by the exact containment of the item's shingles.
+
+One pass over the documents; nothing is shuffled. The items go to the executors as a
+broadcast whose size is bounded: a benchmark of more than ``BLOCK_ITEMS`` items or
+``BLOCK_BYTES`` of text is searched in several blocks, each a pass.
 
 Columns of ``contained``: ``doc_id``, ``item_id``, ``containment``: every pair in which
 ``threshold`` or more of the item's shingles are in the document. ``clean`` returns the
 rows of the documents without any such pair.
 
 Defined cases: a null text, or one without words, contains and is contained in nothing.
-An item or document of fewer than n words is one shingle. Null ids are reported as null.
+An item or document of fewer than n words is one shingle, so such an item is found only in
+a document of the same words: a few words alone don't tell a leak. Null ids are reported as null.
 Repeated rows are each reported. Extra columns are ignored, and kept by ``clean``.
 Empty tables give an empty result, and no item leaves every document clean.
 """
@@ -43,17 +41,18 @@ from webloom.llm import textvec
 
 N = 5
 THRESHOLD = 0.6
-BLOCK_ITEMS = 50_000
-SHORT = 8
+BLOCK_ITEMS, BLOCK_BYTES = 50_000, 64 << 20
 _HIT = StructType([StructField("item", IntegerType()), StructField("containment", DoubleType())])
 
 
-def signature(s: np.ndarray, p: int) -> np.ndarray:
-    """Of sorted distinct hashes, the least in each of 2**(p+5) equal ranges."""
-    if not len(s):
-        return s
-    bins = s >> np.uint64(max(0, 59 - p))
-    return s[np.r_[True, bins[1:] != bins[:-1]]]
+def signature(s: np.ndarray, threshold: float) -> np.ndarray:
+    """Of an item's sorted distinct hashes, as many of the least as no document with its share can lack."""
+    return s[: len(s) - needed(len(s), threshold) + 1]
+
+
+def needed(n: int, threshold: float) -> int:
+    """How many of n shingles make the share."""
+    return max(1, int(np.ceil(threshold * n - 1e-9)))
 
 
 class Index:
@@ -61,42 +60,52 @@ class Index:
 
     def __init__(self, texts: pa.Array, n: int, threshold: float):
         self.n, self.threshold, self.sets = n, threshold, list(shingle_sets(texts, n))
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        short = [i for i, s in enumerate(self.sets) if 0 < len(s) < SHORT]
-        self.short = self._sorted(short, [self.sets[i] for i in short])
-
-    @staticmethod
-    def _sorted(items: list[int], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All hashes in order, with their items."""
-        values = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        of = np.repeat(np.array(items, np.int64), [len(x) for x in hashes])
-        order = np.argsort(values, kind="stable")
-        return values[order], of[order]
-
-    def partition(self, p: int) -> tuple[np.ndarray, np.ndarray]:
-        """Minima of the items that fit into documents of this partition."""
-        if p not in self.by_size:
-            fits = [i for i, s in enumerate(self.sets) if len(s) >= SHORT and self.threshold * len(s) <= 1 << (p + 1)]
-            self.by_size[p] = self._sorted(fits, [signature(self.sets[i], p) for i in fits])
-        return self.by_size[p]
-
-    def search(self, s: np.ndarray) -> list[tuple[int, float]]:
-        if not len(s):
-            return []
-        p = len(s).bit_length() - 1
-        candidates: set[int] = set()
-        for (values, items), keys in ((self.partition(p), signature(s, p)), (self.short, s)):
-            lo, hi = np.searchsorted(values, keys, "left"), np.searchsorted(values, keys, "right")
-            for k in np.flatnonzero(hi > lo):
-                candidates.update(items[lo[k] : hi[k]].tolist())
-        found = []
-        for i in sorted(candidates):
-            mine = self.sets[i]
-            at = np.minimum(np.searchsorted(s, mine), len(s) - 1)
-            share = float((s[at] == mine).sum()) / len(mine)
-            if share >= self.threshold:
-                found.append((i, share))
-        return found
+        by: dict[int, list[int]] = {}
+        for i, s in enumerate(self.sets):
+            if len(s):
+                by.setdefault(needed(len(s), threshold).bit_length() - 1, []).append(i)
+        #: (least size of a document, hashes in order, their items)
+        self.partitions: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for p, items in sorted(by.items()):
+            kept = [signature(self.sets[i], threshold) for i in items]
+            values, of = np.concatenate(kept), np.repeat(np.array(items, np.int64), [len(x) for x in kept])
+            order = np.argsort(values, kind="stable")
+            self.partitions.append((1 << p, values[order], of[order]))
+
+    def candidates(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct (document, item), as rows, of documents whose shingles lie between the offsets."""
+        pairs = [np.empty((0, 2), np.int64)]
+        sizes = np.diff(at)
+        for least, values, items in self.partitions:
+            mine = np.flatnonzero(h <= values[-1])  # the documents' signatures
+            lo = np.searchsorted(values, h[mine])
+            hit = values[np.minimum(lo, len(values) - 1)] == h[mine]
+            mine, lo = mine[hit], lo[hit]
+            doc = np.searchsorted(at, mine, "right") - 1
+            large = sizes[doc] >= least
+            doc, lo = doc[large], lo[large]
+            many = np.searchsorted(values, values[lo], "right") - lo
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            pairs.append(np.stack([np.repeat(doc, many), items[np.repeat(lo, many) + step]], 1))
+        return np.unique(np.concatenate(pairs), axis=0)
+
+    def search(self, texts: pa.Array) -> Iterator[tuple[int, list[int], list[int], list[float]]]:
+        """For each slice of the texts: how many, and the document, item and containment of what they contain."""
+        for _, part in textvec.slices(texts):
+            h, at = textvec.words(part)
+            h, at = textvec.grams(h, at, self.n)
+            docs, items, shares, last, s = [], [], [], -1, h
+            for d, i in self.candidates(h, at).tolist():
+                if d != last:
+                    last, s = d, np.unique(h[at[d] : at[d + 1]])
+                mine = self.sets[i]
+                place = np.minimum(np.searchsorted(s, mine), len(s) - 1)
+                share = float((s[place] == mine).sum()) / len(mine)
+                if share >= self.threshold:
+                    docs.append(d)
+                    items.append(i)
+                    shares.append(share)
+            yield len(part), docs, items, shares
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -109,7 +118,8 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 def _blocks(benchmark: DataFrame, n: int, threshold: float) -> Iterator[tuple[list, Index]]:
     items = benchmark.select("item_id", F.lower("text").alias("text"))
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    many, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-many // BLOCK_ITEMS), -(-(size or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     for b in range(blocks):
         rows = (items if blocks == 1 else items.where(block == b)).collect()
@@ -119,10 +129,14 @@ def _blocks(benchmark: DataFrame, n: int, threshold: float) -> Iterator[tuple[li
 def _searcher(shared):
     @arrow_udf(ArrayType(_HIT))
     def search(texts: pa.Array) -> pa.Array:
-        index = shared.value
-        found = pa.array([[{"item": i, "containment": c} for i, c in index.search(s)] for s in shingle_sets(texts, index.n)], pa.list_(pa.struct([("item", pa.int32()), ("containment", pa.float64())])))
+        off, items, shares = [np.zeros(1, np.int64)], [], []
+        for n, docs, mine, found in shared.value.search(texts):
+            off.append(off[-1][-1] + np.cumsum(np.bincount(np.array(docs, np.int64), minlength=n)))
+            items += mine
+            shares += found
         textvec.release()
-        return found
+        hits = pa.StructArray.from_arrays([pa.array(items, pa.int32()), pa.array(shares, pa.float64())], ["item", "containment"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(off).astype(np.int32)), hits)
 
     return search
 
@@ -130,10 +144,11 @@ def _searcher(shared):
 def _leaks(shared):
     @arrow_udf(BooleanType())
     def leaks(texts: pa.Array) -> pa.Array:
-        index = shared.value
-        found = pa.array([bool(index.search(s)) for s in shingle_sets(texts, index.n)], pa.bool_())
+        out = [np.empty(0, bool)]
+        for n, docs, _, _ in shared.value.search(texts):
+            out.append(np.bincount(np.array(docs, np.int64), minlength=n) > 0)
         textvec.release()
-        return found
+        return pa.array(np.concatenate(out))
 
     return leaks
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force and their defined cases, on small fixtures."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -249,6 +250,40 @@ def test_decontaminate_against_all_pairs(spark):
     assert decontaminate.contained(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.4, 0.6, 0.85, 1.0])
+def test_signatures_miss_nothing(threshold):
+    """Items of 1 to 60 shingles of which just enough lie in a document; signatures are smaller than the sets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(int(threshold * 100))
+    items, docs = [], []
+    for q in [1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 25, 40, 60] * 4:
+        item = [f"i{len(items)}x{k}" for k in range(q + 4)]
+        keep = decontaminate.needed(q, threshold)
+        at = int(rng.integers(0, q - keep + 1))
+        items.append(" ".join(item))
+        for size in (0, 30, 3000):
+            docs.append(f"{words(len(docs), size)} {' '.join(item[at : at + keep + 4])} {words(1 + len(docs), size)}")
+            docs.append(f"{words(len(docs), size)} {' '.join(item[at : at + keep + 3])} {words(1 + len(docs), size)}")
+    index = decontaminate.Index(pa.array(items, pa.large_string()), 5, threshold)
+    found, at = set(), 0
+    for n, d, i, _ in index.search(pa.array(docs, pa.large_string())):
+        found |= {(at + x, y) for x, y in zip(d, i)}
+        at += n
+    assert found == {(6 * i + k, i) for i in range(len(items)) for k in (0, 2, 4)}
+    total = sum(len(v) for _, v, _ in index.partitions)
+    assert total <= (1 - threshold) * sum(map(len, index.sets)) + 1.01 * len(items)
+
+
+def test_decontaminate_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 300)
+    bench = spark.createDataFrame([(i, words(i, 20)) for i in range(20)], "item_id long, text string")
+    docs = frame(spark, [(i, f"{words(900 + i, 9)} {words(i % 25, 20)}") for i in range(50)])
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contained(docs, bench).collect())
+    assert got == [(i, i % 25) for i in range(50) if i % 25 < 20]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [i for i in range(50) if i % 25 >= 20]
+
+
 # 5
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(6)
@@ -414,22 +449,76 @@ def test_quality(spark):
     assert quality.resample(frame(spark, []), known).count() == 0
 
 
-def test_quality_weight_and_order(spark):
-    """Weights against a plain recount of the grams, and the top k against a sort."""
-    rows = quality_rows()[:200]
+def plain_buckets(text, bits):
+    """Buckets of the grams of a text in plain Python."""
+    m = (1 << 64) - 1
+
+    def mix(v):
+        v ^= v >> 30
+        v = v * 0xBF58476D1CE4E5B9 & m
+        v ^= v >> 27
+        v = v * 0x94D049BB133111EB & m
+        return v ^ v >> 31
+
+    def hashed(w):
+        total, power = 0, 1
+        for c in w.encode():
+            total, power = total + (c + 1) * power & m, power * 0x9E3779B97F4A7C15 & m
+        return mix(total)
+
+    tokens = [hashed(w) for w in re.findall(r"[a-z0-9]+|[^a-z0-9\s]+", text.lower())]
+    out = [h >> 64 - bits for h in tokens]
+    for i in range(1, len(tokens)):
+        if tokens[i] == tokens[i - 1]:
+            out.append(1 << bits)
+        elif i > 1 and tokens[i] == tokens[i - 2]:
+            out.append((1 << bits) + 1)
+        else:
+            out.append(mix(tokens[i - 1] * 0x9E3779B97F4A7C15 + tokens[i] & m) >> 64 - bits)
+    return out
+
+
+def test_quality_weights_against_plain_counts(spark, monkeypatch):
+    """Both models counted anew, with another table size too; the top k of keys by a sort."""
+    rows = quality_rows()[:200] + [(700, "a a b a, b -- b! b"), (701, "x")]
     known = labels(spark, [(i, int(i % 3 > 0), 0, "x") for i in range(200)])
     docs = frame(spark, rows)
-    model = quality.fit(docs, known)
-    import pyarrow as pa
-
-    buckets, at = quality.gram_buckets(pa.array([t for _, t in rows], pa.large_string()))
-    weight = {i: sum(model.ratio[b] for b in buckets[at[k] : at[k + 1]]) for k, (i, _) in enumerate(rows)}
-    got = {r.doc_id: r.log_weight for r in quality.resample(docs, known, 50).collect()}
-    assert got == pytest.approx({i: weight[i] for i in got})
-    grams = {i: int(at[k + 1] - at[k]) for k, (i, _) in enumerate(rows)}
-    noise = spark.createDataFrame([(i,) for i in weight], "doc_id long").select("doc_id", quality._key(F.lit(0.0), F.lit(0), model.cut).alias("g"))
-    key = {r.doc_id: weight[r.doc_id] - model.cut * grams[r.doc_id] + r.g for r in noise.collect()}
-    assert set(got) == set(sorted(key, key=key.get, reverse=True)[:50])
+    chosen = docs.select("doc_id", F.xxhash64(F.lit(quality.SEED), "doc_id").alias("h")).collect()
+    target_ids = {r.doc_id for r in chosen if r.doc_id < 200 and r.doc_id % 3 > 0 and r.h % 2 == 0}
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(quality.SEED).alias("g")).collect()}
+    for bits in (15, 18):
+        monkeypatch.setattr(quality, "BITS", bits)
+        monkeypatch.setattr(quality, "gram_buckets", lambda t, b, f=quality.gram_buckets: f(t, b))
+        size = (1 << bits) + 2
+        own = {i: plain_buckets(t, bits) for i, t in rows}
+        raw, target = Counter(b for g in own.values() for b in g), Counter(b for i in target_ids for b in own[i])
+        q = lambda b: (raw[b] + 1) / (sum(raw.values()) + size)  # noqa: E731, B023
+        p = lambda b: (target[b] + size * q(b)) / (sum(target.values()) + size)  # noqa: E731, B023
+        weight = {i: sum(math.log(p(b) / q(b)) for b in g) for i, g in own.items()}
+        got = {r.doc_id: r.log_weight for r in quality.resample(docs, known, 50).collect()}
+        assert got == pytest.approx({i: weight[i] for i in got})
+        assert set(got) == set(sorted(weight, key=lambda i: weight[i] + noise[i], reverse=True)[:50])
+
+
+def test_quality_draw_follows_the_weights(spark):
+    """Of documents that weigh 1 and 3, three quarters of the first draws are heavy ones, others with each seed."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit(math.log(3.0))).otherwise(0.0).alias("w"))
+    draws = [{r.doc_id for r in quality.drawn(df, "w", 400, seed).collect()} for seed in (1, 2, 3)]
+    assert all(len(d) == 400 and abs(np.mean([i % 2 == 0 for i in d]) - 0.74) < 0.07 for d in draws)
+    assert len(draws[0] & draws[1]) < 150 and draws[0] != draws[2]
+
+
+def test_quality_columns_may_clash(spark):
+    rows = [(*r, 1.5, "q", True, 2) for r in quality_rows()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, log_weight double, q string, seen boolean, key int")
+    known = labels(spark, [(i, int(i % 3 > 0), 0, "x") for i in range(300)])
+    got = quality.kept(df, known)
+    assert got.columns == df.columns and 300 < got.count() < 500
+    assert {tuple(r)[2:] for r in got.collect()} == {(1.5, "q", True, 2)}
+
+
+def test_quality_table_grows():
+    assert [quality.bits_for(x) for x in (0, 1 << 30, (1 << 30) + 1, 1 << 32, (1 << 32) + 1, 1 << 47)] == [15, 15, 16, 16, 17, 24]
 
 
 def test_kth_largest(spark):

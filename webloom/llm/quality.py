@@ -6,15 +6,18 @@ words and runs of punctuation; a pair whose second token repeats one of the two
 before is counted as a repeat instead, whatever the token. The log importance weight of a
 document is the sum over its grams of log p(gram) - log q(gram).
 
-A document is kept or rejected by Gumbel top-k: key = weight - cut * grams + Gumbel
-noise seeded by doc_id, and the k largest keys are kept: a sample without replacement in
-proportion to the importance weights. ``k`` is given, or the number of documents whose
-weight per gram is above the cut; the cut is the one that best tells good from bad on
-labelled documents that the target model hasn't seen.
+Documents are drawn without replacement in proportion to their importance weights by
+Gumbel top-k: key = log weight + Gumbel noise of the seed and doc_id, and the k largest
+keys are kept. ``k`` is given, or the number of documents whose log weight is above a
+cut: the value that best tells good from bad on labelled documents that the target model
+hasn't seen. Log weights of long texts lie hundreds apart, so for those the noise hardly
+matters; it decides between documents whose weights are within a few units.
 
 Bound: of the labels, the ``LABELLED`` rows with the least hashes are used to fit (half
 for the target model, half for the cut). The raw model counts every gram of every
-document. The k-th largest key is found exactly by counting keys in ranges.
+document. The table of buckets grows with the input, by one bit each time its bytes grow
+fourfold beyond ``BYTES`` (distinct grams grow about as the square root of a text). The
+k-th largest key is found exactly by counting keys in ranges.
 
 Columns of ``resample``: ``doc_id``, ``log_weight``, of the kept documents. ``kept``
 returns the rows of the input.
@@ -22,8 +25,9 @@ returns the rows of the input.
 Defined cases: texts that are null or have no token are rejected. A null doc_id has the
 noise of id 0. Rows that repeat a doc_id and text share their fate, and all rows with the
 key of the k-th are kept. Without labels of both kinds there is no cut: everything with a
-token is kept. Extra columns are ignored, and kept by ``kept``. An empty table gives an
-empty result.
+token is kept. Very long texts are weighed whole; the training rows are whole texts too.
+Extra columns are ignored, and kept by ``kept``, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,15 +44,20 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from webloom.llm import textvec
 from webloom.session import cut as write_cut
+from webloom.session import input_bytes, unused
 
-BITS = 15
-BUCKETS = (1 << BITS) + 2
+BITS, BYTES = 15, 1 << 30
 LABELLED = 20_000
 SEED = 8
 _COUNT = pa.schema([("b", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
 
 
-def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bits_for(size: int) -> int:
+    """Bits of the bucket table for an input of so many bytes."""
+    return BITS + max(0, -(-((size - 1) // BYTES).bit_length() // 2)) if size > BYTES else BITS
+
+
+def gram_buckets(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every gram, and for each text the offset of its first."""
     h, at = textvec.words(texts, punctuation=True)
     n = len(h)
@@ -59,11 +68,11 @@ def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     back1 = np.r_[np.uint64(0), h[:-1]]
     back2 = np.r_[np.zeros(min(2, n), np.uint64), h[:-2]] if n > 1 else np.zeros(1, np.uint64)
     second = np.r_[False, first[:-1]]
-    pair = (textvec.mix(back1 * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - BITS)).astype(np.int64)
-    pair[h == back1] = 1 << BITS
-    pair[(h == back2) & (h != back1) & ~second] = (1 << BITS) + 1
+    pair = (textvec.mix(back1 * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - bits)).astype(np.int64)
+    pair[h == back1] = 1 << bits
+    pair[(h == back2) & (h != back1) & ~second] = (1 << bits) + 1
     out = np.empty((n, 2), np.int64)
-    out[:, 0] = h >> np.uint64(64 - BITS)
+    out[:, 0] = h >> np.uint64(64 - bits)
     out[:, 1] = np.where(first, -1, pair)
     flat = out.ravel()
     flat = flat[flat >= 0]
@@ -73,31 +82,37 @@ def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, to
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        good = batch.column(1).to_numpy(zero_copy_only=False)
-        for at, part in textvec.slices(batch.column(0)):
-            b, to = gram_buckets(part)
-            raw += np.bincount(b, minlength=BUCKETS)
-            mine = np.repeat(good[at : at + len(part)], np.diff(to))
-            if mine.any():
-                target += np.bincount(b[mine], minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    textvec.release()
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], schema=_COUNT)
+def _counter(bits: int):
+    buckets = (1 << bits) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for batch in batches:
+            good = batch.column(1).to_numpy(zero_copy_only=False)
+            for at, part in textvec.slices(batch.column(0)):
+                b, to = gram_buckets(part, bits)
+                raw += np.bincount(b, minlength=buckets)
+                mine = np.repeat(good[at : at + len(part)], np.diff(to))
+                if mine.any():
+                    target += np.bincount(b[mine], minlength=buckets)
+        some = np.flatnonzero(raw)
+        textvec.release()
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], schema=_COUNT)
+
+    return run
 
 
 @dataclass
 class Model:
     ratio: np.ndarray
+    bits: int = BITS
     cut: float = -np.inf
 
     def weigh(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Log weight and number of grams of each text."""
         weight, grams = [np.empty(0)], [np.empty(0, np.int64)]
         for _, part in textvec.slices(texts):
-            b, to = gram_buckets(part)
+            b, to = gram_buckets(part, self.bits)
             total = np.r_[0.0, np.cumsum(self.ratio[b])]
             weight.append(total[to[1:]] - total[to[:-1]])
             grams.append(np.diff(to))
@@ -131,36 +146,35 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(place[top[np.argmax(gap[top])]])
 
 
-def _hash(c: str, salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), F.coalesce(F.col(c).cast("long"), F.lit(0)))
-
-
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     """The gram ratios over all documents, and the cut."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_q"))
-    known = known.withColumn("_h", F.xxhash64(F.lit(SEED), "_id")).orderBy("_h", "_id").limit(limit)
-    known = write_cut(known.select("_id", "_q", (F.pmod("_h", F.lit(2)) == 0).alias("_fit")), "quality-labels")
-    text = F.lower(F.coalesce("text", F.lit(""))).alias("text")
-    marked = docs.join(F.broadcast(known), docs["doc_id"].cast("long") == known["_id"], "left")
-    counts = marked.select(text, F.coalesce((F.col("_q") > 0) & F.col("_fit"), F.lit(False)).alias("good")).mapInArrow(_counts, "b int, raw long, target long")
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"))
+    known = known.withColumn("h", F.xxhash64(F.lit(SEED), "id")).orderBy("h", "id").limit(limit)
+    known = write_cut(known.select("id", "q", (F.pmod("h", F.lit(2)) == 0).alias("seen")), "quality-labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    bits = bits_for(input_bytes(docs))
+    marked = texts.join(F.broadcast(known), "id", "left")
+    counts = marked.select("text", F.coalesce((F.col("q") > 0) & F.col("seen"), F.lit(False)).alias("good")).mapInArrow(_counter(bits), "b int, raw long, target long")
     got = counts.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    buckets = (1 << bits) + 2
+    raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[got["b"]], target[got["b"]] = got["raw"], got["target"]
     if not target.sum():
-        return Model(np.zeros(BUCKETS))
-    q = (raw + 1) / (raw.sum() + BUCKETS)
-    p = (target + BUCKETS * q) / (target.sum() + BUCKETS)  # the raw model weighs as much as one gram per bucket
-    model = Model(np.log(p) - np.log(q))
+        return Model(np.zeros(buckets), bits)
+    q = (raw + 1) / (raw.sum() + buckets)
+    p = (target + buckets * q) / (target.sum() + buckets)  # the raw model weighs as much as one gram per bucket
+    model = Model(np.log(p) - np.log(q), bits)
     weigh = _weigher(docs.sparkSession.sparkContext.broadcast(model))
-    held = docs.join(F.broadcast(known.where("not _fit")), docs["doc_id"].cast("long") == known["_id"]).select("_q", weigh(text).alias("s")).where("s.n > 0")
-    seen = held.select("_q", (F.col("s.w") / F.col("s.n")).alias("x")).toPandas()
-    model.cut = best_cut(seen["x"][seen["_q"] > 0].to_numpy(), seen["x"][seen["_q"] <= 0].to_numpy())
+    held = texts.join(F.broadcast(known.where("not seen")), "id").select("q", weigh("text").alias("s")).where("s.n > 0")
+    seen = held.select("q", F.col("s.w").alias("x")).toPandas()
+    model.cut = best_cut(seen["x"][seen["q"] > 0].to_numpy(), seen["x"][seen["q"] <= 0].to_numpy())
     return model
 
 
-def _key(weight: Column, grams: Column, cut: float) -> Column:
-    u = (F.shiftrightunsigned(_hash("doc_id", SEED + 1), 11).cast("double") + 0.5) / float(1 << 53)
-    return weight - (0.0 if np.isinf(cut) else cut) * grams - F.log(-F.log(u))
+def gumbel(seed: int) -> Column:
+    """Noise of the seed and doc_id."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), 11).cast("double") + 0.5) / float(1 << 53)
+    return -F.log(-F.log(u))
 
 
 def kth_largest(keys: DataFrame, col: str, k: int, few: int = 10_000) -> float:
@@ -184,25 +198,33 @@ def kth_largest(keys: DataFrame, col: str, k: int, few: int = 10_000) -> float:
     return top[k - 1]
 
 
-def _selected(docs: DataFrame, labels: DataFrame, k: int | None) -> tuple[DataFrame, float, Model]:
+def drawn(weighed: DataFrame, weight: str, k: int, seed: int = SEED) -> DataFrame:
+    """The rows of the k largest keys of a written table with doc_id and log weights."""
+    (key,) = unused(weighed, "key")
+    keys = weighed.withColumn(key, F.col(weight) + gumbel(seed))
+    return keys.where(F.col(key) >= F.lit(kth_largest(keys.select(key), key, k))).drop(key)
+
+
+def _weighed(docs: DataFrame, labels: DataFrame, columns: list[str], weight: str) -> tuple[DataFrame, float]:
+    """The rows that have a token with their log weights, written once, and the cut."""
     model = fit(docs, labels)
     weigh = _weigher(docs.sparkSession.sparkContext.broadcast(model))
-    scored = docs.select("doc_id", weigh(F.lower("text")).alias("s")).where("s.n > 0")
-    keys = write_cut(scored.select("doc_id", F.col("s.w").alias("log_weight"), F.col("s.n").alias("grams"), _key(F.col("s.w"), F.col("s.n"), model.cut).alias("key")), "quality-keys")
-    if k is None:
-        k = keys.where(F.col("log_weight") > model.cut * F.col("grams")).count() if np.isfinite(model.cut) else keys.count()
-    return keys, kth_largest(keys, "key", k), model
+    rows = docs.select(F.struct(*columns).alias("row"), weigh(F.lower("text")).alias("s")).where("s.n > 0")
+    return write_cut(rows.select("row.*", F.col("s.w").alias(weight)), "quality-weights"), model.cut
+
 
+def _many(weighed: DataFrame, weight: str, cut: float, k: int | None) -> int:
+    return k if k is not None else weighed.where(F.col(weight) > F.lit(cut)).count()
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
     """doc_id and log weight of the documents that the Gumbel top-k keeps."""
-    keys, least, _ = _selected(docs, labels, k)
-    return keys.where(F.col("key") >= F.lit(least)).select("doc_id", "log_weight")
+    weighed, cut = _weighed(docs, labels, ["doc_id"], "log_weight")
+    return drawn(weighed, "log_weight", _many(weighed, "log_weight", cut, k), seed)
 
 
-def kept(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The rows that the Gumbel top-k keeps, by a filter that weighs them again; texts aren't shuffled."""
-    _, least, model = _selected(docs, labels, k)
-    weigh = _weigher(docs.sparkSession.sparkContext.broadcast(model))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", weigh(F.lower("text")).alias("s")).where("s.n > 0")
-    return rows.where(_key(F.col("s.w"), F.col("s.n"), model.cut) >= F.lit(least)).select("row.*")
+def kept(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
+    """The rows that the Gumbel top-k keeps; they are written with their weights, so texts are weighed once and not shuffled."""
+    (weight,) = unused(docs, "log_weight")
+    weighed, cut = _weighed(docs, labels, docs.columns, weight)
+    return drawn(weighed, weight, _many(weighed, weight, cut, k), seed).select(*docs.columns)

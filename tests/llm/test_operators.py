@@ -326,6 +326,27 @@ def test_neighbours_recall_of_provided(spark):
     assert recall(spark, np.array([r.embedding for r in rows], np.float32), 2_000) >= 0.9
 
 
+def test_neighbours_of_some_queries(spark):
+    """Queries by a condition, among all; the same rows as when all are asked for."""
+    x = np.random.default_rng(17).normal(size=(700, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    some = sorted(map(tuple, ann.neighbors(df, F.col("vec_id") % 50 == 0).collect()))
+    assert len(some) == 14 * ann.K and {r[0] for r in some} == set(range(0, 700, 50))
+    assert some == sorted(map(tuple, ann.neighbors(df).where("vec_id % 50 = 0").collect()))
+
+
+@pytest.mark.parametrize("size", [1e-30, 1e25, 1e200])
+def test_neighbours_of_large_and_small_numbers(spark, size):
+    x = np.random.default_rng(18).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, (v * size).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.neighbors(df).collect():
+        got.setdefault(r.vec_id, set()).add(r.neighbor_id)
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert np.mean([len(got[i] & set(d[i].argsort()[: ann.K].tolist())) / ann.K for i in range(300)]) >= 0.9
+
+
 def test_neighbours_of_large_lists_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 40)
     monkeypatch.setattr(ann, "QUERIES", 100)

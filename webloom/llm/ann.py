@@ -8,8 +8,10 @@
    found by brute force, and the least number of nearest lists that has ``COVER`` of them
    is taken (``PROBES`` at least). It follows the data and the number of lists: few where
    there are clusters, half of all lists and more where there are none.
-4. Every vector is a query too. Lists that are near one another make blocks of about
-   ``BLOCK`` members, and a query goes once to each block that has some of its lists. There
+4. Queries are the vectors that a condition picks (all by default; the registered query
+   asks for those whose id is divisible by 50), searched in all vectors. Lists that are near
+   one another make blocks of about ``BLOCK`` members, and a query goes once to each block
+   that has some of its lists. There
    its distances to the members of these lists come from its table of partial distances to
    the codes (asymmetric distance), the best ``RERANK`` are measured exactly, and the best
    k of those go on. The k best over all visited blocks are the answer.
@@ -17,14 +19,17 @@
 A list of more than ``BLOCK`` members is split into chunks, each a block, which the queries
 visit alike, so a dense region doesn't make one large task; and of a block with more than
 about ``QUERIES`` visitors each task has a part of them. All that the driver and the
-executors hold besides are the centroids, the codebooks and the held-out vectors.
+executors hold besides are the centroids, the codebooks and the held-out vectors. The index
+is fitted on ``TRAIN`` vectors at most, so it has ``TRAIN`` / 8 lists at most; every vector is
+in it. Beyond 6 million vectors lists grow with them, and their chunks with the lists.
 
 Columns: ``vec_id``, ``neighbor_id``, ``rank`` (1 is nearest), ``distance`` (Euclidean,
 rounded to 6 digits).
 
 Defined cases: vectors that are null, of another dimension than the most frequent, or
 with a null or non-finite element have no neighbours and are none, and neither are null
-ids. Rows that repeat an id count once (the smallest vector). A vector isn't its own
+ids. All are scaled by one power of two where an element is so large or all are so small
+that single precision couldn't hold the squares. Rows that repeat an id count once (the smallest vector). A vector isn't its own
 neighbour; equal vectors are neighbours at distance 0; ties go to the smaller id. Fewer
 than k others give fewer rows. Extra columns are ignored. An empty table gives an empty
 result.
@@ -38,7 +43,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
@@ -225,7 +230,7 @@ def _asker(shared, probes: int):
     return run
 
 
-def _search(shared, k: int, rerank: int):
+def _search(shared, k: int, rerank: int, scale: float):
     def run(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
         codec = shared.value[0]
         if not members.num_rows or not queries.num_rows:
@@ -260,7 +265,8 @@ def _search(shared, k: int, rerank: int):
             guess = np.ascontiguousarray(guess.T)
             # of equal guesses (copies) any may be measured
             best = np.argpartition(guess, few - 1, 1)[:, :few] if few < len(ids) else np.broadcast_to(np.arange(len(ids)), guess.shape)
-            exact = np.sqrt(((x[best] - part[:, None]).astype(np.float64) ** 2).sum(2)).round(6)
+            exact = np.sqrt(((x[best].astype(np.float64) - part[:, None]) ** 2).sum(2))
+            exact = exact.round(6) if scale == 1 else exact
             exact[(ids[best] == qids[i : i + 256, None]) | np.isinf(np.take_along_axis(guess, best, 1))] = np.inf
             rank = np.lexsort((ids[best], exact), axis=1)[:, :k]
             d = np.take_along_axis(exact, rank, 1)
@@ -274,18 +280,22 @@ def _search(shared, k: int, rerank: int):
     return run
 
 
-def neighbors(vectors: DataFrame, k: int = K, probes: int = PROBES, rerank: int = RERANK, train: int = TRAIN) -> DataFrame:
-    """The k nearest neighbours of every vector."""
+def neighbors(vectors: DataFrame, queries: Column | None = None, k: int = K, probes: int = PROBES, rerank: int = RERANK, train: int = TRAIN) -> DataFrame:
+    """The k nearest neighbours of every vector for whose ``vec_id`` the condition holds, among all."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "vec_id long, neighbor_id long, rank int, distance double")
-    v = F.transform("embedding", lambda x: x.cast("float"))
+    asked_for = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     fit = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    fit &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 3e18))
+    fit &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     good = vectors.where(fit).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    common = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    common = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).orderBy(F.desc("n"), "d").first()
     if common is None:
         return empty
-    good = cut(good.where(F.size("v") == common.d).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
+    # a power of two: exact, and the distances are multiplied back
+    scale = 1.0 if common.most == 0 or 1e-15 < common.most < 1e15 else 2.0 ** -min(1000, max(-1000, int(np.log2(common.most))))
+    good = good.where(F.size("v") == common.d).select("vec_id", F.transform("v", lambda x: (x * F.lit(scale)).cast("float")).alias("v"))
+    good = cut(good.groupBy("vec_id").agg(F.min("v").alias("v")), "ann-vectors")
     n = good.count()
     sample = matrix(good.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(train).select("v").toArrow().column("v"))
     lists = max(1, min(len(sample) // 8, int(n**0.5)))
@@ -298,11 +308,12 @@ def neighbors(vectors: DataFrame, k: int = K, probes: int = PROBES, rerank: int
         sizes[r["list"]] = r["count"]
     first, chunks = blocks_of(sizes, codec.centroids)
     # visitors of a block, from the sample
+    many_queries = n if queries is None else good.where(asked_for).count()
     asked = np.zeros(int((first + chunks).max()), np.int64)
     for i in range(0, len(sample), 512):
         who, block, _ = _visits(first, chunks, codec.probes(sample[i : i + 512], probes))
         asked += np.bincount(np.unique(who * len(asked) + block) % len(asked), minlength=len(asked))
-    parts = np.maximum(1, np.ceil(asked * (n / len(sample)) / QUERIES)).astype(np.int64)
+    parts = np.maximum(1, np.ceil(asked * (many_queries / len(sample)) / QUERIES)).astype(np.int64)
     shared = spark.sparkContext.broadcast((codec, first, chunks, parts))
     of = [(i, int(first[i]), int(chunks[i])) for i in range(len(sizes))]
     members = placed.join(F.broadcast(spark.createDataFrame(of, "list int, first int, chunks int")), "list")
@@ -310,10 +321,10 @@ def neighbors(vectors: DataFrame, k: int = K, probes: int = PROBES, rerank: int
     members = members.join(F.broadcast(spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts)], "block int, parts int")), "block")
     members = members.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v", "list", "code")
     h = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "vec_id"), 1).alias("h")
-    visits = placed.select("vec_id", "v", h).mapInArrow(_asker(shared, probes), "block int, part int, q_id long, q array<float>, inside array<int>")
-    found = members.groupBy("block", "part").cogroup(visits.groupBy("block", "part")).applyInArrow(_search(shared, k, rerank), _FOUND_SQL)
+    visits = placed.where(asked_for).select("vec_id", "v", h).mapInArrow(_asker(shared, probes), "block int, part int, q_id long, q array<float>, inside array<int>")
+    found = members.groupBy("block", "part").cogroup(visits.groupBy("block", "part")).applyInArrow(_search(shared, k, rerank, scale), _FOUND_SQL)
     place = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbor_id"))
-    return found.select("vec_id", "neighbor_id", place.alias("rank"), "distance").where(F.col("rank") <= k)
+    return found.select("vec_id", "neighbor_id", place.alias("rank"), F.round(F.col("distance") / F.lit(scale), 6).alias("distance")).where(F.col("rank") <= k)
 
 
 def brute_force(vectors: pd.DataFrame, k: int = K) -> dict[int, list[int]]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_RAW = r"(?is)(<(?:script|style|textarea)\b[^>]*>).*?(</(?:script|style|textarea)\s*>)"
+_RAW = r"(?is)<(script|style|textarea)\b[^>]*>.*?</\1\s*>"
 # the first href or src of a tag; a "<" inside a tag starts it anew
 _LINK = r"""(?is)<[a-z][^<>]*?\s(?:href|src)\s*=\s*("[^"<>]*"|'[^'<>]*'|[^\s"'<>]+)"""
 
@@ -19,7 +19,7 @@ def html_links(html: Column) -> Column:
 
     Null HTML gives null. Links are not entity-decoded.
     """
-    bare = F.regexp_replace(html, _RAW, "<raw>$2")
+    bare = F.regexp_replace(html, _RAW, "<raw>")
     found = F.regexp_extract_all(bare, F.lit(_LINK), 1)
     return F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", "")), lambda x: (x != "") & ~x.startswith("#"))
 
@@ -58,12 +58,9 @@ def charset(content_type: Column, head: Column) -> Column:
     return F.lower(F.when(first != "", first).when(meta != "", meta).otherwise(F.lit("utf-8")))
 
 
-NATIVE = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
-
-
 @F.pandas_udf(StringType())
 def _convert(body, name):
-    """Charsets that the JVM function doesn't take; an unknown one is read as UTF-8."""
+    """Charsets that the JVM function doesn't take, or where it fails on malformed bytes; an unknown one is read as UTF-8."""
     import pandas as pd
 
     def one(b, n):
@@ -78,12 +75,9 @@ def _convert(body, name):
 
 
 def to_utf8(body: Column, name: Column) -> Column:
-    """Bytes of a charset as text, natively where the JVM knows it."""
-    out = None
-    for known in NATIVE[2:3]:
-        out = F.when(name == known, F.decode(body, known))
+    """Bytes of a charset as text, natively where every byte is a character or the bytes are valid already."""
     plain = name.isin("utf-8", "us-ascii") & F.is_valid_utf8(body.cast("string"))
-    return out.when(plain, body.cast("string")).otherwise(_convert(body, name))
+    return F.when(name == "iso-8859-1", F.decode(body, "iso-8859-1")).when(plain, body.cast("string")).otherwise(_convert(body, name))
 
 
 #: Named entities with their characters; lt and gt stay, as decoding them would make tags.
@@ -103,13 +97,11 @@ def title(html: Column) -> Column:
 
 
 def meta(html: Column) -> Column:
-    """(name, content) of the meta elements that have both, name first."""
-    tag = r"""(?is)<meta\s+name\s*=\s*["']([^"'<>]*)["']\s+content\s*=\s*["']([^"'<>]*)["']"""
-    names, contents = (F.regexp_extract_all(html, F.lit(tag), i) for i in (1, 2))
-    return F.arrays_zip(names.alias("name"), contents.alias("content"))
-
-
-_MONTH = "array_position(array('jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'), lower({}))"
+    """(name, content) of the meta elements that have both, in whatever order."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), 0)
+    value = lambda tag, name: F.regexp_replace(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), r"""^["']|["']$""", "")
+    pairs = F.transform(tags, lambda t: F.struct(value(t, "name").alias("name"), value(t, "content").alias("content"), t.rlike(r"(?is)\scontent\s*=").alias("has")))
+    return F.transform(F.filter(pairs, lambda m: (m["name"] != "") & m["has"]), lambda m: F.struct(m["name"].alias("name"), m["content"].alias("content")))
 
 
 def list_entry(line: Column, now: str = "2026-01-01") -> Column:
@@ -130,8 +122,10 @@ def list_entry(line: Column, now: str = "2026-01-01") -> Column:
     eplf = r"^\+([^\t]*)\t(.+)$"
     facts, dos = F.regexp_extract(line, eplf, 1), r"^(\d{2})-(\d{2})-(\d{2,4})\s+(\d{2}):(\d{2})([AP]M)\s+(<DIR>|\d+)\s+(.+)$"
     d = lambda i: F.regexp_extract(line, dos, i)
-    vms = r"^(\S+?)(\.DIR)?;\d+\s+(\d+)"
+    vms = r"^([^;]+?)(\.DIR)?;\d*\s+\S+\s+(\d{1,2})-([A-Za-z]{3})-(\d{4})\s+(\d{1,2}):(\d{2})"
     v = lambda i: F.regexp_extract(line, vms, i)
+    months = F.array(*[F.lit(m) for m in "jan feb mar apr may jun jul aug sep oct nov dec".split()])
+    vms_time = F.try_make_timestamp(v(5).try_cast("int"), F.array_position(months, F.lower(v(4))).cast("int"), v(3).try_cast("int"), v(6).try_cast("int"), v(7).try_cast("int"), F.lit(0))
     hour = F.pmod(d(4).try_cast("int"), F.lit(12)) + F.when(d(6) == "PM", 12).otherwise(0)
     full = F.when(F.length(d(3)) == 4, d(3).try_cast("int")).otherwise(d(3).try_cast("int") + F.when(d(3).try_cast("int") < 70, 2000).otherwise(1900))
     row = lambda name, is_dir, size, mtime: F.struct(F.nullif(name, F.lit("")).alias("name"), is_dir.alias("is_dir"), size.try_cast("long").alias("size"), mtime.cast("timestamp").alias("mtime"))
@@ -140,6 +134,13 @@ def list_entry(line: Column, now: str = "2026-01-01") -> Column:
         F.when(line.rlike(unix), row(named, u(1) == "d", u(2), F.when(u(5).contains(":"), clock).otherwise(dated)))
         .when(line.rlike(eplf), row(F.regexp_extract(line, eplf, 2), facts.rlike(r"(^|,)/"), F.regexp_extract(facts, r"(?:^|,)s(\d+)", 1), F.timestamp_seconds(F.regexp_extract(facts, r"(?:^|,)m(\d+)", 1).try_cast("long"))))
         .when(line.rlike(dos), row(d(8), d(7) == "<DIR>", d(7), F.try_make_timestamp(full, d(1).try_cast("int"), d(2).try_cast("int"), hour, d(5).try_cast("int"), F.lit(0))))
-        .when(line.rlike(vms), row(v(1), v(2) != "", v(3), none))
+        .when(line.rlike(vms), row(v(1), v(2) != "", F.lit(None).cast("string"), vms_time))
         .otherwise(row(F.lit(""), F.lit(None).cast("boolean"), F.lit(None).cast("string"), none))
     )
+
+
+def list_links(listing: Column) -> Column:
+    """A link for each entry of an FTP listing; directories end in a slash."""
+    entries = F.transform(F.split(listing, r"\r\n|\r|\n"), list_entry)
+    named = F.filter(entries, lambda e: e["name"].isNotNull() & ~e["name"].isin(".", ".."))
+    return F.transform(named, lambda e: F.when(e["is_dir"], F.concat(e["name"], F.lit("/"))).otherwise(e["name"]))

@@ -83,9 +83,23 @@ def default_config() -> Config:
         out.filetypes[name] = FileType(name, ext, mime)
         out.crawlers[name] = replace(base, name=name, filetypes=("html", "txt", name))
     out.crawlers["css"] = replace(base, name="css", filetypes=("html", "css"))
-    for name, parser in {"title": "xmlconv, title", "meta": "xmlconv, meta", "source": "source", "xmlsource": "xmlconv, source", "validate": "xmlconv, validator"}.items():
-        out.filetypes[name] = replace(HTML, name=name, parser=parser)
+    pages = {
+        "title": ("xmlconv, title", ("title TEXT",)),
+        "meta": ("xmlconv, meta", ("meta TEXT",)),
+        "source": ("source", ("source BLOB",)),
+        "xmlsource": ("xmlconv, xmlsource", ("source BLOB",)),
+        "validate": ("xmlconv, validator", ("errors INT", "warnings INT")),
+        "youtube": ("xmlconv, youtube/youtube", ("results TEXT",)),
+    }
+    for name, (parser, attributes) in pages.items():
+        out.filetypes[name] = replace(HTML, name=name, parser=parser, attributes=attributes)
         out.crawlers[name] = replace(base, name=name, filetypes=(name,), dynamic_url=f"@{name}", extless_url=f"@{name}", dir_url=f"@{name}")
+    out.crawlers["youtube"] = replace(out.crawlers["youtube"], init="youtube/init")
+    # result pages of searches; every other URL that isn't dynamic is a result
+    out.filetypes["result"] = FileType("result", expr="FULL<*>")
+    for name, expr, attributes in (("google", "PATH</search?*q=*start=*>", ()), ("wikipedia", "PATH</w/index.php?search*>", ("results TEXT",))):
+        out.filetypes[name] = replace(HTML, name=name, parser=f"xmlconv, {name}/parser", expr=expr, attributes=attributes)
+        out.crawlers[name] = replace(base, name=name, filetypes=(name, "result"), dynamic_url=f"@{name}", extless_url=f"@{name}", dir_url=f"@{name}", init=f"{name}/{name}_search_init")
     out.filetypes["ftp"] = FileType("ftp", parser="ftp")
     out.crawlers["ftp"] = replace(base, name="ftp", filetypes=("ftp",), ftp_dir_url="@ftp", dir_url=DISCARD)
     return out

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.engine import Engine, run_chain
 from webloom.functions import extract, patterns, urls, xmlconv
 from webloom.operators import filetypes, frontier, reports, rules, store
 from webloom.plans import control
@@ -72,12 +74,14 @@ def _classify(u: str, name: str) -> str:
     return f"case when {u} like '%?%' or {_ext(u)} = '' then 'html'{cases} end"
 
 
-_RAW = "(?is)(<(?:script|style|textarea)\\b[^>]*>).*?(</(?:script|style|textarea)\\s*>)"
-_LINK = extract._LINK.replace("'", "''")
+# tags are cut at their ends first, then searched for the first of either attribute: another way than the engine's one pattern
+_BODIES = "(?is)" + "|".join(f"<{t}[^>]*>.*?</{t}[ ]*>" for t in ("script", "style", "textarea"))
 LINKS = f"""
-raw as (select page_id, url, unnest(regexp_extract_all(regexp_replace(html, '{_RAW}', '<raw>\\2', 'g'), '{_LINK}', 1)) as l from pages),
-links as (select page_id, url, regexp_replace(l, '^["'']|["'']$', '', 'g') as link from raw where length(l) > 2 or l not in ('""', '''''')),
-anchored as (select * from links where link <> '' and link not like '#%')
+tags as (select page_id, url, unnest(string_split(regexp_replace(html, '{_BODIES}', '<raw>', 'g'), '<')) as tag from pages),
+heads as (select page_id, url, string_split(tag, '>')[1] as head from tags where regexp_matches(tag, '^[A-Za-z]') and contains(tag, '>')),
+firsts as (select page_id, url, regexp_extract(head, '(?i)[ ](?:href|src)[ ]*=[ ]*(.*)$', 1) as tail from heads),
+links as (select page_id, url, case when tail[1] in ('"', chr(39)) then string_split(tail, tail[1])[2] else string_split(tail, ' ')[1] end as link from firsts where tail <> ''),
+anchored as (select * from links where link <> '' and link[1] <> '#')
 """
 _RESOLVED = "{s} || '://' || {h} || {p}".format(s=_scheme("url"), h=_host("url"), p=_normal_path(f"case when link like '/%' then link else regexp_extract({_bare(_path('url'))}, '^(.*/)', 1) || link end"))
 
@@ -152,19 +156,38 @@ for _name, _pattern, _sql in (
     ("full", "FULL(http*://*example*/en/*) HOST<*net>", f"url like 'http%://%example%/en/%' and {_host('url')} like '%net'"),
 ):
     _add(f"pattern_{_name}", lambda s, d, p=_pattern: _pages(s, d).where(patterns.matches(_url(), p)).select("page_id", "url"), f"select page_id, url from pages where {_sql}")
+#: Robots files by page_id % 4: rules for others, an allowed part, comments and an empty rule, none at all.
+_ROBOTS = ["User-agent: other\nDisallow: /", ROBOTS, "# all\nDisallow: /en/ # here\nUser-Agent: WEB\ndisallow: /fr", ""]
 _add(
     "robots_allowed",
-    lambda s, d: _pages(s, d).select("page_id", rules.allowed(urls.path(_url()), rules.robots_rules(F.lit(ROBOTS), "webloom/1")).alias("allowed")),
-    f"select page_id, {_path('url')} like '/de/1%' or not {_path('url')} like '/de/%' as allowed from pages",
+    lambda s, d: _pages(s, d).select("page_id", rules.allowed(urls.path(_url()), rules.robots_rules(F.element_at(F.array(*[F.lit(x) for x in _ROBOTS]), (F.col("page_id") % 4 + 1).cast("int")), "webloom/1")).alias("allowed")),
+    f"select page_id, case page_id % 4 when 1 then p like '/de/1%' or not p like '/de/%' when 2 then not (p like '/en/%' or p like '/fr%') else true end as allowed from (select page_id, {_path('url')} as p from pages)",
 )
 _add("jail_filter", lambda s, d: _pages(s, d).where(rules.in_jail(_url(), F.concat(urls.origin(_url()), F.lit("/EN/index.html")))).select("page_id"), f"select page_id from pages where lower({_path('url')}) like '/en/%'")
-_add("css_links", lambda s, d: _pages(s, d).select("page_id", F.explode(extract.css_links(F.concat(F.lit("body{background:url(\""), _url(), F.lit("\")} @import url(x.css);")))).alias("link")), "select page_id, url as link from pages union all select page_id, 'x.css' from pages")
-_add("text_links", lambda s, d: _pages(s, d).select("page_id", F.explode(extract.text_links(F.concat(F.lit("see "), _url(), F.lit(" there")))).alias("link")), "select page_id, unnest(regexp_extract_all('see ' || url || ' there', '((?:http|ftp)://[A-Za-z0-9%?=&/.]+)', 1)) as link from pages")
+#: All URLs of a host in one text, in forms that follow one another.
+def _css() -> Column:
+    form = lambda words, i: F.element_at(F.array(*[F.lit(x) for x in words]), i % 4 + 1)
+    before, after = ('a{background:url("', "b{background:url('", "c{background: url( ", "@import url "), ('")} ', "')} ", " )} ", "; ")
+    return F.array_join(F.transform("urls", lambda u, i: F.concat(form(before, i), u, form(after, i))), "")
+
+
+def _by_host(s: SparkSession, d: str) -> DataFrame:
+    clean = F.regexp_replace(_url(), r"[#;'\"() ].*$", "")
+    return _pages(s, d).groupBy(urls.host_key(urls.host(_url())).alias("host")).agg(F.sort_array(F.collect_list(clean)).alias("urls"))
+
+
+_cleaned = "regexp_replace(url, '[#;''\"() ].*$', '')"
+_add("css_links", lambda s, d: _by_host(s, d).select("host", F.explode(extract.css_links(_css())).alias("link")), f"select {_key(_host('url'))} as host, {_cleaned} as link from pages")
+_add("text_links", lambda s, d: _by_host(s, d).select("host", F.explode(extract.text_links(F.concat(F.lit("see "), F.array_join("urls", ", then ("), F.lit(") ")))).alias("link")), f"select {_key(_host('url'))} as host, regexp_extract({_cleaned}, '^(http://[A-Za-z0-9%?=&/.]+)', 1) as link from pages where url like 'http://%'")
 _add("entities_decoded", lambda s, d: _pages(s, d).select("page_id", F.md5(extract.decode_entities(F.col("html"))).alias("digest")), "select page_id, md5(replace(replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', chr(1)), chr(1), '&')) as digest from pages")
 _add("page_charset", lambda s, d: _pages(s, d).select("page_id", extract.charset(F.lit(None).cast("string"), F.col("html")).alias("charset")), "select page_id, lower(coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*\\bcharset\\s*=\\s*[\"'']?([a-z0-9_.:-]+)', 1), ''), 'utf-8')) as charset from pages")
 _add("page_title", lambda s, d: _pages(s, d).select("page_id", extract.title(F.col("html")).alias("title")), "select page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '') as title from pages")
-_meta = "concat(html, '<meta name=\"id\" content=\"', cast(page_id as string), '\">')"
-_add("page_meta", lambda s, d: _pages(s, d).select("page_id", F.explode(extract.meta(F.expr(_meta))).alias("m")).select("page_id", "m.name", "m.content"), "select page_id, 'id' as name, page_id::varchar as content from pages")
+_meta = "concat('<meta charset=x><META content=\"', cast(page_id as string), '\" lang=en name=''id''>', html, '<meta name=n', page_id % 3, ' content=\"a > b\" />')"
+_add(
+    "page_meta",
+    lambda s, d: _pages(s, d).select("page_id", F.explode(extract.meta(F.expr(_meta))).alias("m")).select("page_id", "m.name", "m.content"),
+    "select page_id, 'id' as name, page_id::varchar as content from pages union all select page_id, 'n' || (page_id % 3), 'a > b' from pages",
+)
 _add("page_source", lambda s, d: _pages(s, d).select("page_id", "html"), "select page_id, html from pages")
 _add("page_xml", lambda s, d: _pages(s, d).select("page_id", xmlconv.to_xml(F.col("html"))["xml"].alias("xml")))
 _add("page_xml_titles", lambda s, d: _pages(s, d).select("page_id", F.replace(F.xpath_string(xmlconv.to_xml(F.col("html"))["xml"], F.lit("//title")), F.lit("&amp;"), F.lit("&amp;")).alias("title")), "select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1) as title from pages")
@@ -229,6 +252,89 @@ _add(
 )
 
 
+# --- crawls over sites made of the pages' ids: page i links to 2i + 1 and 2i + 2 -------
+def _site(s: SparkSession, d: str, hosts: int) -> tuple[DataFrame, DataFrame]:
+    """Seeds and pages; page i is on host i % hosts in directory i % 3 and has a picture of its own."""
+    n = _pages(s, d).agg(F.count("*").alias("n"))
+    at = lambda i: F.format_string("http://h%d.site/d%d/p%d.html", F.pmod(i, F.lit(hosts)), F.pmod(i, F.lit(3)), i)
+    rows = _pages(s, d).select("page_id").crossJoin(F.broadcast(n))
+    a, b = (2 * F.col("page_id") + 1) % F.col("n"), (2 * F.col("page_id") + 2) % F.col("n")
+    html = F.concat(F.lit("<p><a href="), at(a), F.lit(">a</a> <A HREF='"), at(b), F.lit("'>b</A> <img src=\"i"), F.col("page_id").cast("string"), F.lit(".png\"> <a href='mailto:x@y'> <a href=#top>"))
+    moved = F.col("page_id") % 5 == 4
+    site = rows.select("page_id", at(F.col("page_id")).alias("url"), html.alias("html"), F.when(moved, F.lit(301)).otherwise(200).alias("status"), F.when(moved, at((3 * F.col("page_id") + 1) % F.col("n"))).alias("location"))
+    return s.range(1).select(at(F.col("id")).alias("url")), site
+
+
+def _crawl(hosts: int, redirects: bool = False, robots: str = "", **options):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        seeds, site = _site(s, d, hosts)
+        site = site if redirects else site.drop("status", "location")
+        site = site.drop("page_id")
+        if robots:
+            site = site.unionByName(s.createDataFrame([("http://h0.site/robots.txt", robots)], "url string, html string"))
+        config = filetypes.default_config()
+        config.crawlers["image"] = replace(config.crawlers["image"], **options)
+        found = Engine(s, config).run(seeds, site, "image")
+        number = lambda p: F.regexp_extract("url", p, 1).cast("long").alias("page")
+        pictures = found.targets.select(number(r"/i(\d+)\.png$"), F.lit(None).cast("int").alias("depth"), "filetype")
+        return found.crawled.select(number(r"/p(\d+)\.html$"), "depth", "filetype").union(pictures)
+
+    return query
+
+
+def _crawl_sql(step: str, go: str = "true") -> str:
+    """Least depths by recursion; ``step`` says which (to, more) follow a page, ``go`` which pages are entered."""
+    return f"""
+with recursive n as (select count(*) as n from pages),
+e as (select page_id as i, unnest([(2 * page_id + 1) % n, (2 * page_id + 2) % n]) as j, (3 * page_id + 1) % n as k from pages, n),
+s as ({step}),
+r(page, depth) as (select 0::bigint, 0 union select s.j, r.depth + s.more from r join s on s.i = r.page where r.depth + s.more < 6 and {go}),
+c as (select page, min(depth)::integer as depth from r group by page)
+"""
+
+
+_OUT = "select page, depth, 'html' as filetype from c {w} union all select page, null, 'image' from c {w}"
+_PLAIN = "select i, j, 1 as more from e"
+_add("crawl_default", _crawl(1, depth_limit=6), _crawl_sql(_PLAIN) + _OUT.format(w=""))
+_add("crawl_jail", _crawl(1, depth_limit=6, jail=True), _crawl_sql(_PLAIN, "s.j % 3 = 0") + _OUT.format(w=""))
+_add("crawl_robots", _crawl(1, depth_limit=6, robotstxt=True, robots="User-agent: *\nDisallow: /d1/\nDisallow: /d2/p2\nAllow: /d1/p1\n"), _crawl_sql(_PLAIN, "(('/d' || s.j % 3 || '/p' || s.j) like '/d1/p1%' or not (s.j % 3 = 1 or ('/d' || s.j % 3 || '/p' || s.j) like '/d2/p2%'))") + _OUT.format(w=""))
+# a moved page is fetched, but only its new place is parsed
+_add("crawl_redirect", _crawl(1, True, depth_limit=6), _crawl_sql("select distinct i, k as j, 0 as more from e where i % 5 = 4 union all select i, j, 1 from e where i % 5 <> 4") + "select page, depth, 'html' as filetype from c union all select page, null, 'image' from c where page % 5 <> 4")
+_add(
+    "crawl_peek",
+    _crawl(2, depth_limit=6, external_peek=1),
+    _crawl_sql(_PLAIN, "s.j % 2 = 0") + ", p as (select c.page, c.depth from c union all select distinct e.j, 0 from c join e on e.i = c.page where e.j % 2 = 1) select page, depth::integer as depth, 'html' as filetype from p union all select page, null, 'image' from p",
+)
+_add(
+    "crawl_external",
+    _crawl(2, depth_limit=1, external=True),
+    # on another host the count of levels begins anew, so only links to the other host lead on
+    "with recursive n as (select count(*) as n from pages), e as (select page_id as i, unnest([(2 * page_id + 1) % n, (2 * page_id + 2) % n]) as j from pages, n), r(page) as (select 0::bigint union select e.j from r join e on e.i = r.page where (e.i + e.j) % 2 = 1), c as (select page, 0 as depth from r) " + _OUT.format(w=""),
+)
+# --- result pages of searches -----------------------------------------------------------
+_hit = {
+    "google": "concat('<p><a class=l href=\"', url, '\">x</a><a class=m href=no><a href=no class=\"l x\">')",
+    "wikipedia": "concat('<ul class=other><li><a href=no title=no></ul><ul class=mw-search-results><li><a title=\"t', page_id, '\" href=\"/wiki/', page_id, '\">x</a></li><li><a href=\"/b\" title=b>y</a></ul>')",
+    "youtube": "concat('<div class=video-long-title><b>new</b><a title=t', page_id, ' href=\"/watch?v=', page_id, '\">x</a><a title=no href=no>y</div><div class=video-title><a title=no href=no>')",
+}
+
+
+def _profile(name: str):
+    def query(s: SparkSession, d: str) -> DataFrame:
+        pages = _pages(s, d).select("page_id", "url", F.expr(_hit[name]).alias("html"))
+        done = run_chain(pages, _CONFIG.filetypes[name].parser)
+        if name == "google":
+            return done.select("page_id", F.explode("links").alias("href"))
+        return done.select("page_id", F.inline("results"))
+
+    return query
+
+
+_add("profile_google", _profile("google"), "select page_id, url as href from pages")
+_add("profile_wikipedia", _profile("wikipedia"), "select page_id, 't' || page_id as title, '/wiki/' || page_id as href from pages union all select page_id, 'b', '/b' from pages")
+_add("profile_youtube", _profile("youtube"), "select page_id, 't' || page_id as title, '/watch?v=' || page_id as href from pages")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -246,7 +246,8 @@ class Engine:
         attributes: DataFrame | None = None
         work: dict[tuple[str, str], list[FileType]] = {}
         for c in crawlers:
-            for t in self.config.types_of(c):
+            first = [self.config.filetypes[c.initial_filetype]] if c.initial_filetype else []
+            for t in self.config.types_of(c) + first:
                 now = self.config.crawlers[t.crawler_switch] if t.crawler_switch else c
                 if t.parser or t.handler:
                     work.setdefault(self._chain(now, t), [])

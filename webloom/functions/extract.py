@@ -141,6 +141,6 @@ def list_entry(line: Column, now: str = "2026-01-01") -> Column:
 
 def list_links(listing: Column) -> Column:
     """A link for each entry of an FTP listing; directories end in a slash."""
-    entries = F.transform(F.split(listing, r"\r\n|\r|\n"), list_entry)
+    entries = F.transform(F.split(listing, r"\r\n|\r|\n"), lambda x: list_entry(x))
     named = F.filter(entries, lambda e: e["name"].isNotNull() & ~e["name"].isin(".", ".."))
     return F.transform(named, lambda e: F.when(e["is_dir"], F.concat(e["name"], F.lit("/"))).otherwise(e["name"]))

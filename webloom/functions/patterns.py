@@ -2,8 +2,9 @@
 
 Parts are PATH, HOST, FILE and FULL; the delimiter is any character, and brackets pair
 up. A pattern without a part is about FILE. ``*`` stands for any text and ``[?]`` for one
-character. Literal forms compile to equality, prefix, suffix or substring tests, which
-reach the scan as filters; others to one anchored regular expression.
+character. Literal forms compile to equality, prefix, suffix or substring tests, of which
+those about FULL on a bare column reach the scan as filters; others to one anchored regular
+expression.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""URL algebra as Column expressions: no Python at run time, so all of it runs in codegen.
+"""URL algebra as Column expressions: no Python at run time.
 
 Intent where the specification is ambiguous: percent-encoding is upper-case hex of the
 UTF-8 bytes, dot segments are folded by whole segments only, the scheme is compared
@@ -12,7 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCHEMES = ("http", "https", "ftp", "ftps", "file")
-LONGEST = 65_535
 _ABSOLUTE = r"(?i)^(https?|ftps?|file):/*([a-z0-9.:-]+)((?s:/.*)?)$"
 _HAS_SCHEME = r"^[A-Za-z0-9]*:"
 
@@ -71,9 +70,8 @@ def normal_path(raw: Column) -> Column:
 
 
 def normalized(url: Column) -> Column:
-    """The URL in normal form; null where it is not valid or too long."""
-    out = F.concat(scheme(url), F.lit("://"), host(url), normal_path(path(url)))
-    return F.when(F.length(out) <= LONGEST, out)
+    """The URL in normal form, of any length; null where it is not valid."""
+    return F.concat(scheme(url), F.lit("://"), host(url), normal_path(path(url)))
 
 
 def origin(url: Column) -> Column:
@@ -113,9 +111,14 @@ def is_external(base: Column, url: Column) -> Column:
     return (scheme(base) != scheme(url)) | (host_key(host(base)) != host_key(host(url)))
 
 
-def dedup_key(url: Column) -> Column:
-    """Pages of the same key are one page: scheme and case are ignored."""
-    return F.lower(F.regexp_extract(url, r"(?s)^[^:]*://(.*)$", 1))
+def dedup_key(url: Column, folded: bool = False) -> Column:
+    """Pages of the same key are one page: scheme and case are ignored.
+
+    With ``folded``, characters that differ by one bit only from others fall together too,
+    as where keys have six bits a character.
+    """
+    key = F.lower(F.regexp_extract(url, r"(?s)^[^:]*://(.*)$", 1))
+    return F.translate(key, '_`{|}~', '"@[\\]^') if folded else key
 
 
 def download_name(url: Column) -> Column:

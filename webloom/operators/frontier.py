@@ -1,22 +1,26 @@
 """Breadth-first expansion of links with a visited set.
 
-Every level is one join and one anti-join on the key, written to the shared folder, so the
-plan doesn't grow with the depth and a lost executor costs no more than the level. A page
-has its least depth, whatever the order of links.
+Every level is one join and one anti-join on the key, written to the shared folder, so a
+lost executor costs no more than the level. The visited set is a union of the levels, and
+written anew every eighth level. A page has its least depth, whatever the order of links.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.session import cut
 
 
 def first_seen(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """One row per key, the first in order; rows with a null key go."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.where(F.col(key).isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
+    """One row per key, the first in order; rows with a null key go.
+
+    Added up before the shuffle, so a key that most rows have is no burden to one task.
+    """
+    rest = [c for c in df.columns if c not in (key, *order)]
+    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*order)).alias("o") if not rest else F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("o"))
+    return best.select(*[F.col(key) if c == key else F.col(f"o.{c}") for c in df.columns])
 
 
 def expand(seeds: DataFrame, links: DataFrame, depth_limit: int = 1) -> DataFrame:
@@ -35,6 +39,8 @@ def expand(seeds: DataFrame, links: DataFrame, depth_limit: int = 1) -> DataFram
         if level.isEmpty():
             return seen
         seen = seen.unionByName(level)
+        if depth % 8 == 0:
+            seen = cut(seen, "seen")
 
 
 def follow_redirects(urls: DataFrame, redirects: DataFrame, most: int = 20) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType, LongType, TimestampType
 
 from webloom.operators.filetypes import FileType
+from webloom.session import cut, maybe_broadcast
 
 TABLES = {
     "user": "id int, user string, pass string, fullname string, level int, extra string, deleted boolean",
@@ -59,11 +60,14 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_ids(df: DataFrame, order: str, start: int = 0) -> DataFrame:
-    """Consecutive ids in an order; counted per range and offset, so no task sees all rows."""
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    """Consecutive ids in an order; counted per range and offset, so no task sees all rows.
+
+    The ranges are written first, as a plan that is run twice could cut them in two ways.
+    """
+    ranged = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "ranges")
     ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     sizes = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(sizes.select("_part", "_before")), "_part").withColumn("id", F.col("_in") + F.col("_before") + start).drop("_part", "_in", "_before")
+    return ranged.join(maybe_broadcast(sizes.select("_part", "_before"), 16), "_part").withColumn("id", F.col("_in") + F.col("_before") + start).drop("_part", "_in", "_before")
 
 
 def filenames(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -86,3 +90,70 @@ def renewed(added: DataFrame, input_id: int, now: str, days: int = 28) -> DataFr
 
 def soft_delete(users: DataFrame, user_id: int) -> DataFrame:
     return users.withColumn("deleted", (F.col("id") == user_id) | F.col("deleted"))
+
+
+def next_id(df: DataFrame) -> int:
+    """The id that an auto-increment would give next."""
+    return int(df.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
+
+
+def empty(spark: SparkSession, name: str) -> DataFrame:
+    """A base table without rows."""
+    return spark.createDataFrame([], TABLES[name])
+
+
+def inserted(table: DataFrame, **values) -> DataFrame:
+    """The table with one row more, with the next id; columns not named are null."""
+    row = [(next_id(table), *[values.get(c) for c in table.columns if c != "id"])]
+    names = ["id", *[c for c in table.columns if c != "id"]]
+    kinds = ", ".join(f"`{c}` {dict(table.dtypes)[c]}" for c in names)
+    return table.unionByName(table.sparkSession.createDataFrame(row, kinds))
+
+
+def with_attributes(rows: DataFrame, filetype: FileType) -> DataFrame:
+    """Targets (url, date, attributes) as rows of the file type's table; values of undeclared names go.
+
+    ``INT`` attributes are read as numbers where they are, ``BLOB`` as bytes.
+    """
+    cols = [url_hash(F.col("url")).alias("url_hash"), F.col("date")]
+    for a in filetype.attributes:
+        name, _, kind = a.partition(" ")
+        value = F.try_element_at("attributes", F.lit(name))
+        cast = {"INT": value.try_cast("int"), "BLOB": value.cast("binary")}
+        if kind.strip().upper() not in ("", "INT", "TEXT", "BLOB"):
+            raise ValueError(f"{kind} is no type of an attribute")
+        cols.append(cast.get(kind.strip().upper(), value).alias(name))
+    return rows.select(*cols)
+
+
+def token(seed: Column) -> Column:
+    """A client's token: the hash of its address and a seed, of 40 hexadecimal digits."""
+    return F.sha1(seed)
+
+
+def upload(path: str, key: str):
+    """A ``foreachBatch`` function that upserts the batches of a stream into a Parquet table.
+
+    Versions are written beside one another and the pointer file is replaced last, so a
+    batch that is repeated after a failure gives the same table.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = current(spark, path)
+        rows = upsert(old, batch, key) if old is not None else upsert(batch.limit(0), batch, key)
+        rows.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        spark.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+
+    return run
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table that ``upload`` keeps, None before the first batch."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        version = spark.read.parquet(f"{path}/current").first()
+    except AnalysisException:
+        return None
+    return spark.read.parquet(f"{path}/v{version.version}") if version else None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -10,9 +12,10 @@ from pyspark.sql import functions as F
 
 from webloom.engine import Engine, run_chain
 from webloom.functions import extract, patterns, urls, xmlconv
-from webloom.operators import filetypes, frontier, reports, rules, store
+from webloom.operators import commands, filetypes, frontier, reports, rules, store
 from webloom.plans import control
-from webloom.session import table
+from webloom.session import shared_dir, table
+from webloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _CONFIG = filetypes.default_config()
@@ -26,7 +29,7 @@ def _url() -> Column:
     return F.col("url")
 
 
-# --- pieces of DuckDB SQL -------------------------------------------------------------
+# pieces of DuckDB SQL
 _ABS = "(?i)^(https?|ftps?|file):/*([a-z0-9.:-]+)((?s:/.*)?)$"
 
 
@@ -252,7 +255,54 @@ _add(
 )
 
 
-# --- crawls over sites made of the pages' ids: page i links to 2i + 1 and 2i + 2 -------
+# commands
+_add(
+    "add_input",
+    lambda s, d: commands.add(control.added(s, d), 7, store.LEVELS["write"], "images  http://x.com/a b ", control.NOW).where("user_id = 7"),
+    _C + f"select * from nol_added where user_id = 7 union all select max(id) + 1, 7, 'images', 'http://x.com/a b', timestamp '{control.NOW}' from nol_added",
+)
+_add("user_add", lambda s, d: commands.user_add(control.users(s, d), store.LEVELS["manager"], "New User", "", 2).select("id", "user", "level", "deleted").orderBy(F.desc("id")).limit(5), _C + """select * from (select id, "user", level, deleted from nol_user union all select max(id) + 1, 'New User', 2, false from nol_user) order by id desc limit 5""")
+_add("user_delete", lambda s, d: reports.list_users(commands.user_delete(control.users(s, d), store.LEVELS["manager"], 149)), _C + 'select id, "user", level from nol_user where not deleted and id <> 149 order by id desc limit 100')
+_add("list_clients", lambda s, d: commands.list_clients(control.status(s, d), 3), _C + 'select token, "user", status % 2 as running, address, session_id from nol_latest where slave = 3')
+_add("client_info", lambda s, d: commands.client_info(control.status(s, d), store.LEVELS["read"], "b6589fc6ab0dc82cf12099d1c2d40ab994e8410c"), _C + """select token, "user", slave, status % 2 as running, address, session_id from nol_latest where token = 'b6589fc6ab0dc82cf12099d1c2d40ab994e8410c'""")
+_add("slave_info", lambda s, d: commands.slave_info(control.slaves(s, d), control.status(s, d), 4), _C + "select n_nationkey as id, n_name || '-' || n_nationkey as name, '10.1.0.4:5004' as address, (select count(*) from nol_latest where slave = 4) as clients from nation where n_nationkey = 4")
+_add("session_report", lambda s, d: commands.session_report(control.sessions(s, d).withColumn("report", F.concat_ws(" ", "state", F.col("client_id"))), 77), _C + "select id, state || ' ' || client_id as report from nol_session where id = 77")
+_add("system_status", lambda s, d: commands.system_info(control.sessions(s, d), control.users(s, d), control.slaves(s, d), "1996-12-31 22:00:00", control.NOW), _C + "select 7200::bigint as uptime, (select count(*) from nation) as slaves, (select count(*) from nol_session) as sessions, (select count(*) from nol_user) as users")
+_add("login", lambda s, d: commands.login(control.users(s, d).withColumn("pass", F.md5("user")), "Customer#000000003", hashlib.md5(b"Customer#000000003").hexdigest()), _C + """select id, "user", level from nol_user where "user" = 'Customer#000000003' and not deleted""")
+_add("requeue_due", lambda s, d: jobs.taken(control.added(s, d), control.NOW)[1].groupBy("user_id").agg(F.min("date").alias("next"), F.count("*").alias("inputs")), _C + f"select user_id, min(case when date <= timestamp '{control.NOW}' then timestamp '{control.NOW}' + interval 28 day else date end) as next, count(*) as inputs from nol_added group by user_id")
+_add("users_xml", lambda s, d: commands.to_xml(reports.list_users(control.users(s, d), 0, 100), "user"), _C + """select '<user><id>' || id || '</id><user>' || "user" || '</user><level>' || level || '</level></user>' as xml from (select * from nol_user where not deleted order by id desc limit 100)""")
+
+
+# streams
+def _streamed(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/webloom/{name}-{uuid.uuid4().hex}"
+
+
+_add(
+    "stream_dedup",
+    lambda s, d: jobs.replayed(s, jobs.new_urls(_streamed(s, d, "pages"), "url").select("dedup_key"), _folder(s, "dedup")),
+    f"select distinct lower(regexp_extract({_normalized('url')}, '(?s)^[^:]*://(.*)$', 1)) as dedup_key from pages",
+)
+_signal = "case event_type when 'signup' then 'start' when 'click' then 'idle' when 'purchase' then 'complete' when 'error' then 'disconnect' else 'start' end"
+_add(
+    "stream_lives",
+    lambda s, d: jobs.replayed(s, jobs.lives(_streamed(s, d, "events").selectExpr("user_id", "ts", "event_id", f"{_signal} as signal"), "user_id", ["ts", "event_id"], "signal"), _folder(s, "lives"), "update"),
+    f"""
+with recursive e as (select user_id, {_signal} as signal, row_number() over (partition by user_id order by ts, event_id) as k from events),
+t(state, signal, after) as (values {', '.join(f"('{a}', '{b}', '{c}')" for (a, b), c in jobs.LIFE.items())}),
+r(user_id, k, state, steps) as (
+  select distinct user_id, 0::bigint, '', 0 from e
+  union all select r.user_id, e.k, coalesce(t.after, r.state), r.steps + (t.after is not null)::integer from r join e on e.user_id = r.user_id and e.k = r.k + 1 left join t on t.state = r.state and t.signal = e.signal
+)
+select user_id, arg_max(state, k) as state, arg_max(steps, k)::integer as steps from r group by user_id
+""",
+)
+
+# crawls over sites made of the pages' ids: page i links to 2i + 1 and 2i + 2
 def _site(s: SparkSession, d: str, hosts: int) -> tuple[DataFrame, DataFrame]:
     """Seeds and pages; page i is on host i % hosts in directory i % 3 and has a picture of its own."""
     n = _pages(s, d).agg(F.count("*").alias("n"))
@@ -311,7 +361,7 @@ _add(
     # on another host the count of levels begins anew, so only links to the other host lead on
     "with recursive n as (select count(*) as n from pages), e as (select page_id as i, unnest([(2 * page_id + 1) % n, (2 * page_id + 2) % n]) as j from pages, n), r(page) as (select 0::bigint union select e.j from r join e on e.i = r.page where (e.i + e.j) % 2 = 1), c as (select page, 0 as depth from r) " + _OUT.format(w=""),
 )
-# --- result pages of searches -----------------------------------------------------------
+# result pages of searches
 _hit = {
     "google": "concat('<p><a class=l href=\"', url, '\">x</a><a class=m href=no><a href=no class=\"l x\">')",
     "wikipedia": "concat('<ul class=other><li><a href=no title=no></ul><ul class=mw-search-results><li><a title=\"t', page_id, '\" href=\"/wiki/', page_id, '\">x</a></li><li><a href=\"/b\" title=b>y</a></ul>')",

@@ -2,11 +2,12 @@
 
 ``class["name"] { option = value; }`` makes an object; ``extend:`` changes one,
 ``override:`` replaces one, ``["new" copy "old"]`` starts from another. ``include "file";``
-loads a file of a name once. Values are strings, numbers, true, false and lists.
+loads a file of a name once, ``load_module "name";`` a Python module. Values are strings, numbers, true, false and lists.
 """
 
 from __future__ import annotations
 
+import importlib
 import os
 import re
 from collections.abc import Callable
@@ -99,7 +100,10 @@ class _Parser:
                 name = self.string()
                 if self.peek() == ";":
                     self.take()
-                text = self.include(name) if word == "include" else None
+                if word == "load_module":
+                    self.module(name)
+                    continue
+                text = self.include(name)
                 if text is not None:
                     _Parser(text, self.config, self.include).run()
                 continue
@@ -116,6 +120,14 @@ class _Parser:
                 self.fail(f"{word} is no class")
             self.object(mode, word)
 
+    def module(self, name: str) -> None:
+        """Import a Python module; it registers parsers, handlers and init functions of its own."""
+        try:
+            importlib.import_module(name)
+        except ImportError as e:
+            self.at -= 1
+            self.fail(f"module {name} can't be loaded: {e}")
+
     def object(self, mode: str, word: str) -> None:
         kind, place = _KINDS[word]
         known = getattr(self.config, place)

@@ -210,7 +210,8 @@ def test_toxicity_risk_and_gradient():
     for scale, prior in ((0.3, 0.2), (3.0, 0.9)):
         w, bias = rng.normal(size=len(used)) * scale + (pos @ dense > 0) * (scale > 1), 0.1
         model = toxicity.Model(w, np.ones(len(used)), bias)
-        got, g = toxicity.step(*toxicity.sums(model, pos, doc, at, x, 42), prior)
+        features = 2 * toxicity.sums(toxicity.Model(0 * w, 0 * w, 0.0), pos, doc, at, x, 42)[1]
+        got, g = toxicity.step(*toxicity.sums(model, pos, doc, at, x, 42), features, prior)
         toxic, rest = risk(w, bias, prior)
         assert got == pytest.approx(toxic + max(0, rest))
         part = (lambda *v: sum(risk(*v))) if rest >= 0 else (lambda *v: -risk(*v)[1])

@@ -47,13 +47,13 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
 from webloom.llm import textvec
-from webloom.session import cut, maybe_broadcast, unused
+from webloom.session import cut, input_bytes, maybe_broadcast, unused
 
 BITS = 18
 STEMS = (5, 7)
 TOP, LEAST_SCORE = 5.0, 0.5
 STEPS, RATE, DECAY = 24, 16.0, 2e-4
-CHUNK = 4096
+CHUNK, TASK_BYTES = 4096, 128 << 20
 _COUNTS = pa.schema([("b", pa.int32()), ("n", pa.int64()), ("p", pa.int64())])
 _PACKED = pa.schema([("doc_id", pa.int64()), ("pos", pa.bool_()), ("norm", pa.float32()), ("b", pa.large_binary()), ("c", pa.large_binary())])
 _SUMS = pa.schema([("chunk", pa.int32()), ("body", pa.binary())])
@@ -152,23 +152,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def sums(model: Model, pos: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of some documents: the sums of the gradients of l(-z) over all, of l(z) and of l(-z) over the toxic (weights, then offset), and of their losses, with the counts."""
+def sums(model: Model, pos: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some documents: the sums of the gradients of l(-z) over all and over the toxic (weights, then offset), and of their losses, with the counts.
+
+    The gradient of l(z) is that of l(-z) less the features, so it needn't be added up anew.
+    """
     z, size = model.margins(row, at, x, n), len(model.weight)
-    with_offset = lambda d: np.r_[np.bincount(at, x * d[row], size), d.sum()]
-    of_all, fewer, more = sigmoid(z), np.where(pos, -sigmoid(-z), 0), np.where(pos, sigmoid(z), 0)
-    losses = np.array([np.logaddexp(0, z).sum(), np.logaddexp(0, -z[pos]).sum(), np.logaddexp(0, z[pos]).sum(), n, pos.sum()])
-    some = np.flatnonzero(pos[row])
-    narrow = lambda d: np.r_[np.bincount(at[some], x[some] * d[row[some]], size), d.sum()]
-    return with_offset(of_all), narrow(fewer), narrow(more), losses
+    d, some = sigmoid(z), np.flatnonzero(pos[row])
+    of_all = np.r_[np.bincount(at, x * d[row], size), d.sum()]
+    of_toxic = np.r_[np.bincount(at[some], x[some] * d[row[some]], size), d[pos].sum()]
+    return of_all, of_toxic, np.array([np.logaddexp(0, z).sum(), np.logaddexp(0, -z[pos]).sum(), np.logaddexp(0, z[pos]).sum(), n, pos.sum()])
 
 
-def step(all_: np.ndarray, toxic: np.ndarray, negated: np.ndarray, losses: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
-    """The risk and the direction of a step (the gradient, or away from that of a negative part below zero)."""
+def step(all_: np.ndarray, toxic: np.ndarray, losses: np.ndarray, features: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The risk and the direction of a step (the gradient, or away from that of a negative part below zero); ``features`` are the toxic documents' sums."""
     n, p = losses[3], max(1.0, losses[4])
     rest = losses[0] / n - prior * losses[2] / p
-    of_rest = all_ / n - prior * negated / p
-    of_toxic = prior * toxic / p
+    of_rest = all_ / n - prior * toxic / p
+    of_toxic = prior * (toxic - features) / p
     return prior * losses[1] / p + max(0.0, rest), of_toxic + of_rest if rest >= 0 else -of_rest
 
 
@@ -186,8 +187,8 @@ def _adder(shared):
             part = sums(model, pos, row, at, x, batch.num_rows)
             total = list(part) if total is None else [a + b for a, b in zip(total, part)]
         if total is not None:
-            m = np.stack(total[:3])
-            rows = [(-1, total[3].tobytes())] + [(i, m[:, i * CHUNK : (i + 1) * CHUNK].astype(np.float32).tobytes()) for i in range(-(-m.shape[1] // CHUNK))]
+            m = np.stack(total[:2])
+            rows = [(-1, total[2].tobytes())] + [(i, m[:, i * CHUNK : (i + 1) * CHUNK].astype(np.float32).tobytes()) for i in range(-(-m.shape[1] // CHUNK))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _SUMS)], schema=_SUMS)
 
     return run
@@ -200,32 +201,36 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("chunk").slice(0, 1), pa.array([total.tobytes()], pa.binary())], schema=_SUMS)
 
 
-def train(gather: Callable[[Model], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], scale: np.ndarray, prior: float, squares: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Model:
+def train(gather: Callable[[Model], tuple[np.ndarray, np.ndarray, np.ndarray]], scale: np.ndarray, prior: float, squares: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Model:
     """Nesterov steps on the risk; ``squares`` is the mean sum of squares of a toxic document's features."""
     size = len(scale)
     rate, decay = rate / max(squares, 1e-9), 4 * decay * squares / rate
     w = np.r_[np.zeros(size), np.log(prior / (1 - prior))]
     move, pace = np.zeros(size + 1), np.r_[np.full(size, rate), 0.1 * rate]
     pace[-1] = min(pace[-1], 4.0)
+    features = 2 * gather(Model(np.zeros(size), scale, 0.0))[1]  # there the sigmoid is a half
     for t in range(1, steps + 1):
         ahead = w + (t - 1) / (t + 2) * move
-        _, g = step(*gather(Model(ahead[:-1], scale, float(ahead[-1]))), prior)
+        _, g = step(*gather(Model(ahead[:-1], scale, float(ahead[-1]))), features, prior)
         after = ahead - pace * (g + np.r_[decay * ahead[:-1], 0])
         move, w = after - w, after
     return Model(w[:-1], scale, float(w[-1]))
 
 
-def _gatherer(packed: DataFrame, size: int):
+def _gatherer(packed: DataFrame):
     spark = packed.sparkSession
+    # every task sends sums of all features, so few large tasks send less than many small ones
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-input_bytes(packed) // TASK_BYTES))
+    packed = packed.coalesce(tasks)
 
     def gather(model: Model):
         shared = spark.sparkContext.broadcast(model)
         found = packed.where("norm > 0").select("pos", "norm", "b", "c").mapInArrow(_adder(shared), "chunk int, body binary")
         got = found.groupBy("chunk").applyInArrow(_added, "chunk int, body binary").toArrow()
         parts = dict(zip(got.column("chunk").to_pylist(), got.column("body").to_pylist()))
-        m = np.concatenate([np.frombuffer(parts[i], np.float64).reshape(3, -1) for i in range(len(parts) - 1)], axis=1)
+        m = np.concatenate([np.frombuffer(parts[i], np.float64).reshape(2, -1) for i in range(len(parts) - 1)], axis=1)
         shared.destroy()
-        return m[0], m[1], m[2], np.frombuffer(parts[-1], np.float64)
+        return m[0], m[1], np.frombuffer(parts[-1], np.float64)
 
     return gather
 
@@ -262,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, steps: i
         return pa.array(np.bincount(row, x * x, len(b)))
 
     mean = packed.where("pos and norm > 0").select(F.avg(squares("norm", "b", "c"))).first()[0]
-    return train(_gatherer(packed, len(active)), scale[active], pi, float(mean), steps), packed
+    return train(_gatherer(packed), scale[active], pi, float(mean), steps), packed
 
 
 def _scorer(shared):

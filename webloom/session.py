@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +62,7 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webloom/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -72,16 +72,33 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
 
 
 @contextmanager
-def scratch() -> Iterator[None]:
-    """Tables that ``cut`` writes inside go at the end; results must be written before."""
-    before = set(_WRITTEN)
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut`` writes inside go at the end, but those given to the function that this yields."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_read_by(df))
+        return df
+
     try:
-        yield
+        yield keep
     finally:
-        for path in [p for p in _WRITTEN if p not in before]:
+        for path in [p for p in _WRITTEN if p not in before and p not in kept]:
             _forget(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the table that ``cut`` returned; nothing may read it any more."""
+    for path in _read_by(df):
+        _forget(path)
+
+
+def _read_by(df: DataFrame) -> list[str]:
+    """The tables of ``cut`` that ``df`` reads."""
+    folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    return [p for p in _WRITTEN if p.rpartition("/")[2] in folders]
+
+
 def input_bytes(df: DataFrame) -> int:
     """The planner's size of ``df`` in bytes: of the files that a scan reads, without a job; 0 if it has none."""
     found = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

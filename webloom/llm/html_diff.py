@@ -43,6 +43,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.session import partitions_for
+
 LEAST = -(1 << 63)
 #: Rows that a range has at least, and keys that are drawn for each bound.
 RANGE_ROWS, DRAWN = 64, 20
@@ -306,7 +308,7 @@ def _ranges(keys: DataFrame, parts: int) -> tuple[list[str], dict[tuple[str, int
 def extract(pages: DataFrame) -> DataFrame:
     """The text of every page without the lines that it shares with its nearest page."""
     spark = pages.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(pages)
     keyed = pages.select(_key(F.col("url")).alias("k"), F.col("page_id").cast("long").alias("page_id"), "html")
     bounds, beside = _ranges(keyed.select("k", F.coalesce("page_id", F.lit(LEAST)).alias("pid"), "html"), parts)
     shared = spark.sparkContext.broadcast((bounds, beside))

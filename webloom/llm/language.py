@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from webloom.session import cut
+from webloom.session import cut, maybe_broadcast
 
 RANKS = 300
 PER_LANGUAGE = 400
@@ -113,7 +113,7 @@ def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
     known = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
     chosen = cut(known.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang").distinct(), "lang-sample")
-    texts = docs.where("text is not null").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", letters(F.col("text")).alias("text"))
+    texts = docs.where("text is not null").join(maybe_broadcast(chosen, 64), ["doc_id", "lang"]).select("lang", letters(F.col("text")).alias("text"))
     grams = texts.mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= RANKS)
     ranked: dict[str, list[int]] = {}

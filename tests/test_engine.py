@@ -122,6 +122,32 @@ def test_xml(spark):
     assert one(spark, F.xpath(xmlconv.to_xml(F.col("v"))["xml"], F.lit("//a[@class='l']/@href")), "<a class=l href=x><a href=y>") == ["x"]
 
 
+def test_xml_of_provided_pages(spark):
+    """Every provided page becomes XML with the text and links that another parser finds."""
+    import xml.etree.ElementTree as ET
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.hrefs, self.opened = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hrefs += [v for k, v in attrs if k == "href" and tag == "a"]
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html", xmlconv.to_xml(F.col("html")).alias("x")).collect()
+    for r in rows:
+        reader = Reader()
+        reader.feed(r.html)
+        tree = ET.fromstring(r.x.xml)
+        found = [a.get("href") for a in tree.iter("a")]
+        import html as escapes
+
+        assert [escapes.unescape(h) for h in found] == reader.hrefs
+        assert r.x.unclosed >= 0 and r.x.stray >= 0
+    assert len(rows) > 40
+
+
 def test_frontier_and_redirects(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", None), ("c", "d")], "src string, dst string")
     seeds = spark.createDataFrame([("a",), ("a",), (None,)], "page string")
@@ -142,6 +168,8 @@ def test_store(spark):
     assert all(r.id == r.k + 11 for r in ids) and len(ids) == 100
     names = store.filenames(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "i int, name string"), "name", "i")
     assert {r.saved_as for r in names.collect()} == {"a", "a-1", "b"}
+    many = store.filenames(spark.range(60).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, "x").alias("name")), "name", "i")
+    assert {r.i: r.saved_as for r in many.collect()} == {i: None if i % 3 else "x" if i == 0 else f"x-{i // 3}" for i in range(60)}
     assert one(spark, store.sanitized(F.col("v")), "a-b c_1") == "a_b_c_1"
     assert [one(spark, store.leading_int(F.col("v")), x) for x in (" 12x", "x", "-3")] == [12, 0, -3]
     assert store.schema_for(FileType("t", attributes=("title TEXT",))).names == ["id", "url_hash", "date", "title"]

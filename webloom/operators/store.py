@@ -71,9 +71,18 @@ def with_ids(df: DataFrame, order: str, start: int = 0) -> DataFrame:
 
 
 def filenames(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """Names to save under: the second of a name gets ``-1`` and so on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn("saved_as", F.when(n > 0, F.concat(F.col(name), F.lit("-"), n.cast("string"))).otherwise(F.col(name)))
+    """Names to save under: the second of a name gets ``-1`` and so on.
+
+    Counted per range and offset, so a name that most rows have is no burden to one task.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "names")
+    sizes = ranged.groupBy(name, "_part").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(name).alias("_name"), F.col("_part").alias("_of"), before.alias("_before"))
+    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part", name).orderBy(*order)) - 1)
+    n = F.col("_in") + F.col("_before")
+    named = ranged.join(sizes, F.col(name).eqNullSafe(F.col("_name")) & (F.col("_part") == F.col("_of")))
+    return named.withColumn("saved_as", F.when(n > 0, F.concat(F.col(name), F.lit("-"), n.cast("string"))).otherwise(F.col(name))).select(*df.columns, "saved_as")
 
 
 def session_counts(rel: DataFrame, filetypes: list[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force and their defined cases, on small fixtures."""
 
 import math
+import os
 import re
 from collections import Counter
 
@@ -620,6 +621,62 @@ def test_html_diff_against_brute_force(spark):
     assert html_diff.extract(df.where("false")).count() == 0
 
 
+def test_html_diff_against_another_reader(spark):
+    """Lines by the standard library's parser, pairs by sorting all pages, deletions by a table of lengths."""
+    from html.parser import HTMLParser
+    from urllib.parse import urlsplit
+
+    blocks = {"p", "div", "li", "ul", "br", "h1", "body", "html", "table", "tr", "td"}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.off = [""], 0
+
+        def handle_starttag(self, tag, _):
+            self.off += tag in ("script", "style", "head")
+            if tag in blocks:
+                self.out.append("")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "head")
+            if tag in blocks:
+                self.out.append("")
+
+        def handle_data(self, data):
+            if not self.off:
+                self.out[-1] += data
+
+    def read(html):
+        reader = Reader()
+        reader.feed(html)
+        reader.close()
+        return [y for y in (" ".join(o.split()) for o in reader.out) if y]
+
+    rng, rows = np.random.default_rng(21), []
+    for i in range(160):
+        host = f"h{rng.integers(0, 3)}.com"
+        body = "".join(f"<{t}>{w}&amp;{k}</{t}>" for k, (t, w) in enumerate((rng.choice(["p", "div", "li"]), f"x{rng.integers(0, 6)}") for _ in range(rng.integers(1, 8))))
+        rows.append((i, f"https://{host}/{rng.choice(['a', 'ab', 'b'])}/{rng.integers(0, 50):02}", f"<html><head><title>t</title><style>p</style></head><body><ul><li>home<li>{host}</ul><script>if(a<b)x()</script>{body}<p>end"))
+    lines = {i: read(h) for i, _, h in rows}
+    place = {i: (urlsplit(u).netloc, urlsplit(u).path) for i, u, _ in rows}
+    order = sorted(place, key=lambda i: (*place[i], i))
+    want = {}
+    for at, i in enumerate(order):
+        near = [j for j in order[max(0, at - 1) : at] + order[at + 1 : at + 2] if place[j][0] == place[i][0] and lines[j] != lines[i]]
+        if not near and lines[i]:
+            back = next((j for j in order[:at][::-1] if place[j][0] == place[i][0] and lines[j] != lines[i]), None)
+            on = next((j for j in order[at + 1 :] if place[j][0] == place[i][0] and lines[j] != lines[i]), None)
+            near = [j for j in (back, on) if j is not None]
+        best = max(near, key=lambda j: len(os.path.commonprefix([place[i][1], place[j][1]])), default=None)
+        want[i] = (best, len(lines[i]), int(lcs(lines[i], lines[best])) if best is not None else 0)
+    got = {r.page_id: r for r in html_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: (r.paired_with, r.n_lines, r.n_shared) for i, r in got.items()} == want
+    for i, r in got.items():
+        left, rest = r.text.split("\n") if r.text else [], iter(lines[i])
+        assert len(left) == want[i][1] - want[i][2] and all(any(x == y for y in rest) for x in left)
+
+
 def test_html_diff_deletes_the_template(spark):
     page = "<nav>menu</nav><p>{}</p><footer>foot</footer>"
     rows = [(1, "http://x.com/a/1", page.format("one")), (2, "http://x.com/a/2", page.format("two")), (3, "http://y.com/a/3", page.format("three"))]

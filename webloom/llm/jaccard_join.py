@@ -48,9 +48,9 @@ from webloom.llm import textvec
 from webloom.session import cut, maybe_broadcast
 
 BITS = 48
-FLUSH_GRAMS, FLUSH_DOCS, BLOCK = 2_000_000, 60_000, 1 << 17
-#: Bytes of text to a range: about two million grams.
-RANGE_BYTES = 12 << 20
+FLUSH_GRAMS, FLUSH_DOCS, BLOCK = 1_000_000, 60_000, 1 << 17
+#: Bytes of text to a range: about a million grams.
+RANGE_BYTES = 6 << 20
 _SENT = "r int, flush long, kind int, body binary"
 _SENT_ARROW = pa.schema([("r", pa.int32()), ("flush", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
 _SETS = "doc_id long, n int, shared int, k int, prefix binary, fp binary, grams array<long>"

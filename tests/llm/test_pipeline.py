@@ -73,3 +73,31 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark):
             assert out.columns[:5] == docs.columns and out.count() <= df.count()
             if name != "sharding":
                 assert out.columns == docs.columns
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns with the names that stages use inside are kept as they are."""
+    names = ["log_weight", "key", "src", "len", "cut", "gone", "row", "s", "h", "class_id", "set_id", "label", "id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns[: len(docs.columns)] == docs.columns and 0 < out.count() <= 80
+        assert out.where(" or ".join(f"{n} is distinct from concat('{n}', doc_id)" for n in names)).isEmpty(), name
+
+
+def test_stages_take_very_long_texts_ties_and_repeated_rows(spark):
+    """A text of a million words, two rows of one id, equal texts: each has its defined fate."""
+    long = " ".join(f"w{i % 5000}x{i % 7}" for i in range(1_000_000))
+    same = " ".join(f"s{i}" for i in range(50))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    schema = docs.schema
+    rows = [(1, long, "en", "a", 1), (2, same, "en", "a", 1), (3, same, "en", "b", 1), (4, "only this", "en", "b", 1), (4, "only this", "en", "b", 1), (5, same + " t", "en", "a", 1)]
+    small = spark.createDataFrame(rows, schema)
+    stages = dict(corpus_pipeline.STAGES)
+    left = sorted(r.doc_id for r in stages["n-gram Jaccard join"](spark, small, SF).collect())
+    assert left == [1, 2, 4, 4]
+    assert sorted(r.doc_id for r in stages["benchmark decontamination"](spark, small, SF).collect()) == [1, 2, 3, 4, 4, 5]
+    drawn = [r.doc_id for r in stages["mixing sources to target weights"](spark, small, SF).collect()]
+    assert drawn.count(4) in (0, 2) and set(drawn) <= {1, 2, 3, 4, 5}
+    shards = stages["sharding"](spark, small, SF).where("doc_id = 4").select("shard").distinct().count()
+    assert shards == 1 and len(stages["quality classifier"](spark, docs.union(small), SF).where("doc_id = 4 and text = 'only this'").collect()) in (0, 2)

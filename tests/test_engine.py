@@ -339,6 +339,20 @@ extend: crawler["c"] { init = "own.js/start"; }
         Engine(spark, c).run(spark.createDataFrame([("p.html",)], "url string"), site(spark, []), "c")
 
 
+def test_hooks(spark):
+    told = []
+    note = lambda name: lambda *what: told.append((name, *what))
+    hooks = {n: note(n) for n in ("ready", "level", "idle", "cleanup")} | {"session_complete": lambda c: told.append(("complete", c.crawled.count()))}
+    engine = Engine(spark, config.loads(BASE), hooks)
+    seeds = spark.createDataFrame([("x.com",)], "url string")
+    engine.run(seeds, site(spark, [("http://x.com/", "<a href=a.html>"), ("http://x.com/a.html", "")]), "c")
+    assert told == [("ready",), ("level", 0, 0), ("level", 1, 1), ("idle",), ("complete", 2), ("cleanup",)]
+    told.clear()
+    with pytest.raises(ValueError):
+        engine.run(seeds, site(spark, []), "nobody")
+    assert told == [("cleanup",)]
+
+
 def test_chain_parsers(spark):
     body = "<meta charset=iso-8859-1><p>gr\xfc\xdf".encode("latin-1")
     df = spark.createDataFrame([("http://x.com/", None, bytearray(body), None)], "url string, html string, body binary, content_type string")

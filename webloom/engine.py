@@ -165,8 +165,16 @@ class Crawl:
 class Engine:
     """Crawls stored pages by the rules of a configuration."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, hooks: dict[str, Callable] | None = None):
+        """``hooks`` by event: ``ready`` and ``idle`` before and after the levels and ``level``
+        (number, depth) at each, ``session_complete`` with the crawl and ``cleanup`` at the end,
+        whether it failed or not. They run on the driver."""
         self.spark, self.config = spark, config if config is not None else filetypes.default_config()
+        self.hooks = hooks or {}
+
+    def _tell(self, event: str, *what) -> None:
+        if event in self.hooks:
+            self.hooks[event](*what)
 
     def links(self, pages: DataFrame, crawler: str = "default") -> DataFrame:
         """(src, dst, filetype, external, route) of the links of all pages, by their URLs alone."""
@@ -204,6 +212,14 @@ class Engine:
         text; null URLs are left out; a page is fetched once, at the least depth of the
         round that found it first.
         """
+        try:
+            found = self._run(seeds, pages, crawler, mime)
+            self._tell("session_complete", found)
+            return found
+        finally:
+            self._tell("cleanup")
+
+    def _run(self, seeds: DataFrame, pages: DataFrame, crawler: str, mime: DataFrame | None) -> Crawl:
         crawlers = self.reachable(crawler)
         stored = self._stored(pages)
         known = stored.where("content_type is not null").select("key", "content_type")
@@ -212,7 +228,9 @@ class Engine:
         known = cut(known.groupBy("key").agg(F.min("content_type").alias("content_type")), "mime")
         facts, attributes = self._facts(stored, crawlers, known)
         typed = self._typed(facts, crawlers, known)
+        self._tell("ready")
         rows = self._levels(seeds, stored, typed, crawlers, known)
+        self._tell("idle")
         first = self.config.crawlers[crawler]
         return self._results(rows, stored, typed, attributes, first)
 
@@ -345,6 +363,7 @@ class Engine:
             if least is None:
                 break
             level = cut(self._allowed(pool.where(F.col("depth") == least).join(table, ["crawler", "filetype"], "left"), stored, crawlers), "level")
+            self._tell("level", len(out), least)
             rest = pool.where(F.col("depth") > least) if deepest > least else None
             out.append(level)
             now = pool.where(F.col("depth") == least).select("key")  # those that rules forbid are settled too

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from webloom.plans import catalogue
+from webloom.streaming import jobs
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -46,3 +47,18 @@ def test_query(spark, name):
         compared(df, sql)
     else:
         assert df.count() > 0
+
+
+@pytest.mark.parametrize(("name", "table"), [("stream_dedup", "pages"), ("stream_lives", "events")])
+def test_streams_of_folders(spark, tmp_path, name, table):
+    """A table may be a folder of files, as larger ones are."""
+    spark.read.parquet(f"{SF}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    spark.range(1).write.parquet(str(tmp_path / "other.parquet"))
+    compared(catalogue.queries()[name](spark, str(tmp_path)), catalogue.oracle_sql()[name])
+
+
+def test_stream_without_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("url string").parquet(str(tmp_path / "in"))
+    found = jobs.replayed(spark, stream, str(tmp_path / "out"))
+    assert found.columns == ["url"] and found.count() == 0

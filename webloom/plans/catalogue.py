@@ -14,7 +14,7 @@ from webloom.engine import Engine, run_chain
 from webloom.functions import extract, patterns, urls, xmlconv
 from webloom.operators import commands, filetypes, frontier, reports, rules, store
 from webloom.plans import control
-from webloom.session import shared_dir, table
+from webloom.session import is_folder, shared_dir, table
 from webloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -275,7 +275,10 @@ _add("users_xml", lambda s, d: commands.to_xml(reports.list_users(control.users(
 
 # streams
 def _streamed(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.readStream.schema(table(s, d, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream, whether it is one file or a folder of files."""
+    path, stream = f"{d}/{name}.parquet", s.readStream.schema(table(s, d, name).schema)
+    # only a folder can be the source of a stream, so a file is picked out of its folder
+    return stream.parquet(path) if is_folder(s, path) else stream.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def _folder(s: SparkSession, name: str) -> str:

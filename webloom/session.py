@@ -43,6 +43,13 @@ def remove_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path, on whatever file system it is on, is there as a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(p) and files.getFileStatus(p).isDirectory()
+
+
 #: Tables that ``cut`` wrote and that are still there.
 _WRITTEN: dict[str, SparkSession] = {}
 

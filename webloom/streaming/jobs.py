@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webloom.functions import urls
 from webloom.operators import store
+from webloom.session import is_folder
 
 
 def new_urls(stream: DataFrame, url: str, date: str | None = None, late: str = "1 day") -> DataFrame:
@@ -91,13 +92,16 @@ def serve(path: str, clock=None):
 def replayed(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """The rows of a stream up to now, written below ``folder``, which has its checkpoint too.
 
-    In the update mode the rows of all batches, the latest of a key among them.
+    In the update mode the rows of all batches, the latest of a key among them. A stream
+    that had no files has no batches, so no rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    if not is_folder(spark, f"{folder}/rows"):
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows/*")
 
 

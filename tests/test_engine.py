@@ -1,16 +1,20 @@
 import datetime
 import os
+import random
 import subprocess
 import sys
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import engine
 from webloom.engine import Engine, attributes_of, run_chain
 from webloom.functions import extract, urls, xmlconv
 from webloom.operators import commands, filetypes, frontier, rules, store
 from webloom.operators.filetypes import PENDING, Crawler, FileType
 from webloom.plans import config
+from webloom.session import cut
 from webloom.sources import pages
 from webloom.streaming import jobs
 
@@ -458,3 +462,47 @@ def test_entry_without_the_folder(tmp_path):
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'links_by_host' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def wild_site(spark, seed, n=80):
+    """Pages of three hosts that link to any page in several forms; some have moved, one host has robots rules."""
+    rng = random.Random(seed)
+    at = lambda i, form: f"{('http', 'https')[form % 2]}://h{i % 3}.site/d{i % 2}/{'pP'[form // 2]}{i}.{('html', 'txt', 'css')[i % 7 % 3]}"
+    any_page = lambda i: at(rng.choice((i + 1, i + 3, rng.randrange(n))) % n, rng.randrange(4))
+    rows = []
+    for i in range(n):
+        links = [any_page(i) for _ in range(rng.randrange(2, 6))]
+        moved = rng.random() < 0.1
+        rows.append((at(i, 0), "see " + " ".join(f"<a href={x}>" for x in links) + f" {any_page(i)} url({any_page(i)}) <img src=i{i}.png>", 301 if moved else 200, any_page(i) if moved else None))
+    rows.append(("http://h1.site/robots.txt", "User-agent: *\nDisallow: /d1/p1", 200, None))
+    return spark.createDataFrame([(at(i, 3),) for i in range(6)], "url string"), spark.createDataFrame(rows, "url string, html string, status int, location string")
+
+
+@pytest.mark.parametrize(("seed", "options", "wide"), [(2, {"external": True, "external_peek": 2, "depth_limit": 2, "robotstxt": True}, 10**6), (3, {"external_peek": 3, "depth_limit": 0}, 10**6), (4, {"external": True, "external_peek": 2, "depth_limit": 3, "robotstxt": True}, 12)])
+def test_walk_is_as_levels(spark, monkeypatch, seed, options, wide):
+    """What is walked in one task has the rows, depths and levels that joins have, wherever it begins and stops."""
+    seeds, site = wild_site(spark, seed)
+    conf = filetypes.default_config()
+    conf.filetypes["txt"] = replace(conf.filetypes["txt"], crawler_switch="css")
+    conf.crawlers["image"] = replace(conf.crawlers["image"], unknown_url="@css", **options)
+    conf.crawlers["css"] = replace(conf.crawlers["css"], external=True, depth_limit=2)
+    found = []
+    for levels, most in ((10**6, 10**6), (1, wide)):
+        monkeypatch.setattr(engine, "LEVELS", levels)
+        monkeypatch.setattr(engine, "WIDE", most)
+        told = []
+        c = Engine(spark, conf, {"level": lambda *x: told.append(x)}).run(seeds, site, "image")  # noqa: B023
+        found.append((sorted(map(tuple, c.crawled.collect())), sorted(map(repr, c.targets.collect())), told))
+    assert found[0] == found[1]
+    assert len(found[0][0]) > 15 and len(found[0][2]) > 4 and found[0][2][-1][0] == len(found[0][2]) - 1
+
+
+def test_thin_levels_are_few_jobs(spark, monkeypatch):
+    """A chain of pages over two hosts has a level for each, but doesn't need jobs for each."""
+    rows = [(f"http://h{i % 2}.site/p{i}.html", f"<a href=http://h{(i + 1) % 2}.site/p{i + 1}.html>") for i in range(3000)]
+    tables = []
+    monkeypatch.setattr(engine, "cut", lambda df, name="t", **kw: tables.append(name) or (cut(df, name, **kw) if len(tables) < 100 else pytest.fail("a table for each level")))
+    conf = filetypes.default_config()
+    conf.crawlers["default"] = replace(conf.crawlers["default"], external=True)
+    found = Engine(spark, conf).run(spark.createDataFrame(rows[:1], "url string, html string").select("url"), spark.createDataFrame(rows, "url string, html string"))
+    assert found.crawled.count() == 3000 and {r.depth for r in found.crawled.select("depth").distinct().collect()} == {0}

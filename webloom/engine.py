@@ -3,7 +3,8 @@
 A crawl first reduces the stored pages to a narrow table of links, one pass for each parser
 chain that the configuration can reach, and classifies each link once for every crawler
 that can meet it. The levels then join only these narrow rows, so no text is shuffled or
-read again however deep the crawl goes.
+read again however deep the crawl goes. After some levels, those that are thin are walked in one
+task over numbered links; where a level is wide, joins take over again.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import extract, urls, xmlconv
-from webloom.operators import filetypes, rules
+from webloom.operators import filetypes, rules, store, walk
 from webloom.operators.filetypes import PENDING, Config, Crawler, FileType
 from webloom.session import cut
 
 AGENT = "webloom"
 #: Redirects that are followed in a row.
 HOPS = 20
+#: Levels by joins before the rest is walked in one task, if at most ``WIDE`` pages wait.
+LEVELS = 8
+WIDE = 1_000_000
 
 Step = Callable[[DataFrame], DataFrame]
 #: Parsers by name: (df with html and links) -> df; a chain runs them in order.
@@ -152,6 +156,17 @@ def attributes_of(df: DataFrame, filetype: FileType) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
+#: Columns of what a level fetches.
+ROWS = ["key", "url", "crawler", "filetype", "now", "work", "depth"]
+
+
+def _union(levels: list[DataFrame]) -> DataFrame:
+    rows = levels[0]
+    for x in levels[1:]:
+        rows = rows.unionByName(x)
+    return rows
+
+
 @dataclass
 class Crawl:
     """What a crawl found: tables that are written already."""
@@ -322,13 +337,17 @@ class Engine:
         jailed, polite = ([c.name for c in crawlers if getattr(c, f)] for f in ("jail", "robotstxt"))
         if jailed:
             rows = rows.where(~F.col("crawler").isin(jailed) | F.lower(urls.path(F.col("url"))).startswith(F.lower(F.col("jail"))))
-        if polite:
-            robots = stored.where(F.lower(urls.path(F.col("url"))) == "/robots.txt")
-            robots = robots.groupBy(urls.host_key(urls.host(F.col("url"))).alias("robots_host")).agg(F.min("html").alias("robots"))
-            rows = rows.withColumn("host", urls.host_key(urls.host(F.col("url")))).join(robots, F.col("host") == F.col("robots_host"), "left")
-            free = rules.allowed(urls.path(F.col("url")), rules.robots_rules(F.col("robots"), AGENT))
-            rows = rows.where(~F.col("crawler").isin(polite) | free).drop("host", "robots_host", "robots")
-        return rows
+        return self._free(rows, stored, polite).where("free").drop("free")
+
+    def _free(self, rows: DataFrame, stored: DataFrame, polite: list[str]) -> DataFrame:
+        """Rows (url, crawler) with ``free``: whether the robots rules allow them."""
+        if not polite:
+            return rows.withColumn("free", F.lit(True))
+        robots = stored.where(F.lower(urls.path(F.col("url"))) == "/robots.txt")
+        robots = robots.groupBy(urls.host_key(urls.host(F.col("url"))).alias("robots_host")).agg(F.min("html").alias("robots"))
+        rows = rows.withColumn("host", urls.host_key(urls.host(F.col("url")))).join(robots, F.col("host") == F.col("robots_host"), "left")
+        free = rules.allowed(urls.path(F.col("url")), rules.robots_rules(F.col("robots"), AGENT))
+        return rows.withColumn("free", F.coalesce(~F.col("crawler").isin(polite) | free, F.lit(False))).drop("host", "robots_host", "robots")
 
     def _start(self, seeds: DataFrame, crawler: Crawler, known: DataFrame) -> DataFrame:
         start = seeds.select(urls.normalized(named(INITS, crawler.init or "default", "init function")(F.col("url"))).alias("url")).where("url is not null").distinct()
@@ -355,21 +374,36 @@ class Engine:
         out: list[DataFrame] = []
         seen: DataFrame | None = None
         pool = level
+        # how many levels there were, how many by joins, and after how many of those there is a walk; jails are kept by joins only
+        n, joined, due = 0, 0, LEVELS
+        may_walk = not any(c.jail for c in crawlers)
         while True:
             # least depths first, so redirects, which keep the depth, come before the next level
             pool = pool if seen is None else pool.join(seen, "key", "left_anti")
             pool = cut(pool.groupBy("key").agg(F.min(F.struct("depth", "peeking", "hops", "url", "crawler", "filetype", "most", "jail")).alias("b")).select("key", "b.*"), "pool")
-            least, deepest = pool.agg(F.min("depth"), F.max("depth")).first()
+            least, deepest, waiting = pool.agg(F.min("depth"), F.max("depth"), F.count("*")).first()
             if least is None:
                 break
+            if may_walk and joined >= due and waiting <= WIDE:
+                rows, settled, pool, depths = self._walk(pool, seen, stored, typed, crawlers, of, table)
+                for d in depths.toLocalIterator() if "level" in self.hooks else ():
+                    self._tell("level", n, d.depth)
+                    n += 1
+                out.append(rows)
+                seen = settled if seen is None else cut(seen.union(settled), "seen")
+                due = 2 * max(joined, 1)
+                continue
             level = cut(self._allowed(pool.where(F.col("depth") == least).join(table, ["crawler", "filetype"], "left"), stored, crawlers), "level")
-            self._tell("level", len(out), least)
+            self._tell("level", n, least)
+            n, joined = n + 1, joined + 1
             rest = pool.where(F.col("depth") > least) if deepest > least else None
-            out.append(level)
+            out.append(level.select(*ROWS))
             now = pool.where(F.col("depth") == least).select("key")  # those that rules forbid are settled too
             seen = now if seen is None else seen.union(now)
-            if len(out) % 8 == 0:
+            if joined % 8 == 0:
                 seen = cut(seen, "seen")
+            if len(out) == 32:  # else the plan of all levels outgrows the driver
+                out = [cut(_union(out), "levels")]
             here = level.where("work is not null").select(F.col("key").alias("src_key"), F.col("now").alias("crawler"), "work", "depth", "most", "peeking", "jail", "hops", "own_limit", "peek")
             step = here.withColumnRenamed("work", "own_work").join(typed, ["src_key", "crawler"]).where("route != 'target' and (hop or work = own_work)")
             inside, hop, far = F.col("route") == "frontier", F.col("hop"), F.col("route") == "pending"
@@ -384,10 +418,41 @@ class Engine:
             pool = step if rest is None else step.unionByName(rest.select(*step.columns))
         if not out:
             return cut(level.withColumns({"now": F.col("crawler"), "work": F.lit(None).cast("string")}), "level")
-        rows = out[0]
-        for x in out[1:]:
-            rows = rows.unionByName(x)
-        return rows
+        return _union(out)
+
+    def _walk(self, pool: DataFrame, seen: DataFrame | None, stored: DataFrame, typed: DataFrame, crawlers: list[Crawler], of: list[tuple], table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """The levels from ``pool`` on in one task: their rows, the keys settled, what still waits, and the levels' depths."""
+        polite = [c.name for c in crawlers if c.robotstxt]
+        links = typed.where("route != 'target'")
+        links = cut(self._free(links if seen is None else links.join(seen, "key", "left_anti"), stored, polite), "links")
+        pool = cut(self._free(pool, stored, polite), "waiting")
+        # pages and URLs by number: a page has the number of its first URL, so URLs of a page are in order
+        both = links.select("key", "url").union(pool.select("key", "url")).distinct()
+        names = store.with_ids(both.select(F.struct("key", "url").alias("name")), "name", -1).select("name.key", "name.url", F.col("id").alias("number"))
+        names = cut(names, "names")
+        pages = cut(names.groupBy("key").agg(F.min("number").alias("page")), "numbered")
+        some = ["crawler", "work", "hop", "route", "filetype", "free"]
+        pool = pool.withColumns({"work": F.lit(None).cast("string"), "hop": F.lit(False), "route": F.lit("")})
+        combos = links.select(*some).union(pool.select(*some)).distinct().collect()
+        states = sorted({(r.crawler, r.filetype) for r in combos})
+        kinds = [walk.Kind(r.crawler, r.work, r.hop, r.route, states.index((r.crawler, r.filetype)), r.free) for r in combos]
+        sign = F.concat_ws("\n", "crawler", F.coalesce("work", F.lit("")), F.col("hop").cast("string"), "route", "filetype", F.col("free").cast("string"))
+        text = lambda r: "\n".join([r.crawler, r.work or "", str(r.hop).lower(), r.route, r.filetype, str(r.free).lower()])
+        kind = F.broadcast(self.spark.createDataFrame([(text(r), i) for i, r in enumerate(combos)], "sign string, kind int"))
+        numbered = lambda df: df.withColumn("sign", sign).join(kind, "sign").join(names, ["key", "url"]).join(pages, "key")
+        none = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in walk.TAKES.split(", ")[4:])]
+        by_source = numbered(links).join(pages.select(F.col("key").alias("src_key"), F.col("page").alias("src")), "src_key").select("src", "page", F.col("number").alias("url"), "kind", *none)
+        first = numbered(pool).select(F.lit(-1).cast("long").alias("src"), "page", F.col("number").alias("url"), "kind", "depth", "peeking", "hops", "most")
+        parsed = {(c, t): x for c, t, *x in of}
+        run = walk.walk(names.count(), kinds, [parsed.get(s) for s in states], {c.name for c in crawlers if c.external}, HOPS, WIDE)
+        found = cut(by_source.union(first).repartition(1).sortWithinPartitions("src").mapInArrow(run, walk.GIVES), "walked")
+        depths = found.where("level >= 0").groupBy("level").agg(F.min("depth").alias("depth")).orderBy("level").select("depth")
+        state = F.broadcast(self.spark.createDataFrame([(i, *s) for i, s in enumerate(states)], "state int, crawler string, filetype string"))
+        back = found.withColumnRenamed("url", "number").join(names, "number").join(state, "state")
+        settled = cut(back.where("level >= 0").select("key", "url", "crawler", "filetype", "depth", "free"), "settled")
+        rows = cut(settled.where("free").join(table, ["crawler", "filetype"], "left").select(*ROWS), "level")
+        left = back.where("level < 0").select("key", "depth", "peeking", "hops", "url", "crawler", "filetype", "most", F.lit("").alias("jail"))
+        return rows, settled.select("key"), left, depths
 
     def _results(self, rows: DataFrame, stored: DataFrame, typed: DataFrame, attributes: DataFrame, first: Crawler) -> Crawl:
         fetched = cut(rows.where("work is not null").join(stored.select("key"), "key", "left_semi").select("key", "url", "depth", "crawler", F.col("now"), "work", "filetype"), "crawled")

@@ -5,6 +5,7 @@ import os
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -151,6 +152,33 @@ def test_language(spark):
     assert language.identify(frame(spark, [(1, "abc", None, "s")])).first().lang == "und"
 
 
+def test_language_letters_as_in_sql(spark):
+    texts = [("el", "Ο ΔΡΟΜΟΣ ΤΗΣ ΠΟΛΗΣ, ΟΔΟΣ ΑΘΗΝΑΣ"), ("tr", "İstanbul ile İzmir DİYARBAKIR'dan"), ("de", "Straße -- ÄRGER, 12 Öfen"), ("xx", "𐐀𐐁 日本語 e\u0301 x\u2028y\ufffd")]
+    rows = [(i, t, lang, "s") for i, (lang, t) in enumerate(texts * 2)] + [(100 + i, t.upper(), None, "s") for i, (_, t) in enumerate(texts)] + ODD[1:5]
+    df = frame(spark, rows)
+    documents = df.toPandas()  # noqa: F841 (read by the SQL)
+    want = {r[0]: (r[1], r[2]) for r in duckdb.sql(language.ORACLE).fetchall()}
+    found = language.identify(df)
+    got = {r.doc_id: (r.lang, r.distance) for r in found.collect()}
+    assert got.keys() == want.keys() and {i: r[0] for i, r in got.items()} == {i: r[0] for i, r in want.items()}
+    assert all(d == pytest.approx(want[i][1]) if d is not None else want[i][1] is None for i, (_, d) in got.items())
+    # the JVM makes no strings of the texts: they would fill an executor's heap
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "text" in plan and not any(x in plan for x in ("regexp", "lower(", "trim(", "concat("))
+
+
+def test_language_pieces(monkeypatch):
+    text = " Ärger, ΟΔΟΣ 12 -- İz 日本 𐐀x" * 3
+    whole = [language.profile(t.encode()) for t in (text, text + "!", "?" * 40 + "a", "a", "", " 1 ")]
+    assert [len(u) for u, _ in whole[3:]] == [4, 0, 0]  # "a", " a", "a ", " a "
+    assert all((language.profile(text.encode())[k] == whole[1][k]).all() for k in (0, 1))
+    for span in range(1, 9):
+        monkeypatch.setattr(language, "SPAN", span)
+        for t, w in zip((text, text + "!", "?" * 40 + "a", "a", "", " 1 "), whole):
+            assert all(np.array_equal(x, y) for x, y in zip(language.profile(t.encode()), w))
+        assert all(np.array_equal(x, y) for x, y in zip(language.profile(b"\xff\xc3ab\xe2\x82"), language.profile(b" ab ")))
+
+
 # 3
 def test_toxicity_on_held_out(spark):
     rng = np.random.default_rng(4)

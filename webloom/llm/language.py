@@ -10,7 +10,12 @@ Ties of frequency go to the shorter, then the smaller n-gram by code points, tie
 distance to the smaller language name.
 
 Three code points fit into 63 bits, so n-grams are counted exactly as numbers in numpy,
-and a batch never makes a Python object per n-gram.
+and a batch never makes a Python object per n-gram. Lower case and blanks come from a
+table of code points, in pieces of ``SPAN`` bytes, so the JVM makes no strings for them:
+those would fill its heap.
+
+Lower case is by single code points, as in SQL: there is no final sigma, and the capital
+I with a dot is an i. Letters are those of this Python's Unicode.
 
 Bound: a language's profile is made from the ``PER_LANGUAGE`` labelled documents with the
 least hashes. Every document is classified by its whole text.
@@ -18,20 +23,23 @@ least hashes. Every document is classified by its whole text.
 Columns: ``doc_id``, ``lang`` (the language found, "und" if there is no letter) and
 ``distance`` (the mean per n-gram of the document's profile; null with "und").
 
-Defined cases: null and empty texts and texts without a letter are "und". Null ids are
-classified too; they don't train. Rows with a null lang don't train. Repeated rows are
+Defined cases: null and empty texts and texts without a letter are "und". Bytes that are not
+UTF-8 count as blanks. Null ids are classified too; they don't train. Rows with a null lang don't train. Repeated rows are
 each classified. Without any labelled document all are "und". Extra columns are ignored.
 An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import codecs
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -44,28 +52,53 @@ SPAN = 1 << 20
 SEED = 2
 
 
-def letters(text: Column) -> Column:
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+#: No code point from here on is a letter.
+END = 0x40000
 
 
-def _codes(c: np.ndarray, starts: int) -> np.ndarray:
-    """The 1-, 2- and 3-grams that start at the first code points, as numbers: shorter ones are smaller, then by code points."""
-    c = c.astype(np.int64)
-    one, two = c[:starts], (c[:-1] << 21) | c[1:]
-    return np.concatenate([one[one != 32], two[:starts], ((two[:-1] << 21) | c[2:])[:starts]])
+@cache
+def _letters() -> np.ndarray:
+    """The lower case of each code point under ``END``, or a blank where that is no letter; one blank more."""
+    low = [chr(i).lower()[0] for i in range(END)]
+    return np.array([ord(x) if unicodedata.category(x)[0] == "L" else 32 for x in low] + [32], np.int64)
 
 
-def profile(text: str, ranks: int = RANKS) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams of a text, in order, and their counts."""
-    u, n = np.empty(0, np.int64), np.empty(0, np.int64)
+def letters(text: bytes) -> Iterator[np.ndarray]:
+    """Code points of a text in lower case, in pieces. Runs of other than letters are one blank, and one is at the end; a blank at the beginning is left out."""
+    known, decoder, last = _letters(), codecs.getincrementaldecoder("utf-8")("replace"), False
     for at in range(0, len(text), SPAN):
-        g = _codes(np.frombuffer(text[at : at + SPAN + 2].encode("utf-32-le", "surrogatepass"), np.uint32), SPAN)
-        one, many = np.unique(g, return_counts=True)
-        if at:
+        end = at + SPAN >= len(text)
+        c = np.frombuffer(decoder.decode(text[at : at + SPAN], end).encode("utf-32-le"), np.uint32)
+        c = known.take(c, mode="clip")
+        if end:
+            c = np.append(c, 32)
+        letter = c != 32
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[:1] |= last
+        last = letter[-1] if len(c) else last
+        if keep.any():
+            yield c[keep]
+
+
+def _codes(before: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The 1-, 2- and 3-grams that end at one of the code points ``c``, as numbers: shorter ones are smaller, then by code points."""
+    s = np.concatenate([before, c])
+    two = (s[:-1] << 21) | s[1:]
+    return np.concatenate([c[c != 32], two[len(before) - 1 :], (two[:-1] << 21) | s[2:]])
+
+
+def profile(text: bytes, ranks: int = RANKS) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams of a text, in order, and their counts."""
+    u, n, before = np.empty(0, np.int64), np.empty(0, np.int64), np.array([32], np.int64)
+    for c in letters(text):
+        one, many = np.unique(_codes(before, c), return_counts=True)
+        if len(u):
             u, inverse = np.unique(np.r_[u, one], return_inverse=True)
             n = np.bincount(inverse, np.r_[n, many]).astype(np.int64)
         else:
             u, n = one, many
+        before = np.concatenate([before, c[-2:]])[-2:]
     if len(u) > ranks:
         least = np.partition(n, len(n) - ranks)[len(n) - ranks]
         u, n = u[n >= least], n[n >= least]
@@ -88,10 +121,12 @@ class Profiles:
             rank[np.searchsorted(grams, np.array(ranked[n], np.int64)), j] = np.arange(len(ranked[n]))
         return cls(names, grams, rank)
 
-    def nearest(self, text: str | None) -> tuple[str, float | None]:
-        if not self.names or text is None or not text.strip():
+    def nearest(self, text: bytes | None) -> tuple[str, float | None]:
+        if not self.names or text is None:
             return "und", None
         mine, _ = profile(text)
+        if not len(mine):
+            return "und", None
         at = np.searchsorted(self.grams, mine)
         at[at == len(self.grams)] = 0
         at[self.grams[at] != mine] = len(self.grams)
@@ -101,11 +136,15 @@ class Profiles:
         return self.names[j], int(away[j]) / len(mine)
 
 
+def _bytes(texts: pa.Array) -> Iterator[bytes | None]:
+    return (t.as_py() for t in texts.cast(pa.large_binary()))
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if text.strip():
-                u, n = profile(text, 1 << 62)
+        for lang, text in zip(batch.column(0).to_pylist(), _bytes(batch.column(1))):
+            u, n = profile(text, 1 << 62)
+            if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(n)], ["lang", "gram", "n"])
 
 
@@ -113,7 +152,7 @@ def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Profiles:
     known = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
     chosen = cut(known.withColumn("place", place).where(F.col("place") <= per_language).select("doc_id", "lang").distinct(), "lang-sample")
-    texts = docs.where("text is not null").join(maybe_broadcast(chosen, 64), ["doc_id", "lang"]).select("lang", letters(F.col("text")).alias("text"))
+    texts = docs.where("text is not null").join(maybe_broadcast(chosen, 64), ["doc_id", "lang"]).select("lang", "text")
     grams = texts.mapInArrow(_train, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = grams.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= RANKS)
     ranked: dict[str, list[int]] = {}
@@ -127,7 +166,7 @@ def _finder(shared):
 
     @arrow_udf(kind)
     def find(texts: pa.Array) -> pa.Array:
-        found = [shared.value.nearest(t.as_py()) for t in texts]
+        found = [shared.value.nearest(t) for t in _bytes(texts)]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([d for _, d in found], pa.float64())], ["lang", "distance"])
 
     return find
@@ -136,7 +175,7 @@ def _finder(shared):
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The language of every document."""
     find = _finder(docs.sparkSession.sparkContext.broadcast(profiles(docs, per_language)))
-    return docs.select("doc_id", find(letters(F.col("text"))).alias("f")).select("doc_id", "f.*")
+    return docs.select("doc_id", find(F.col("text")).alias("f")).select("doc_id", "f.*")
 
 
 ORACLE = f"""

@@ -162,7 +162,7 @@ def test_language_letters_as_in_sql(spark):
     got = {r.doc_id: (r.lang, r.distance) for r in found.collect()}
     assert got.keys() == want.keys() and {i: r[0] for i, r in got.items()} == {i: r[0] for i, r in want.items()}
     assert all(d == pytest.approx(want[i][1]) if d is not None else want[i][1] is None for i, (_, d) in got.items())
-    # the JVM makes no strings of the texts: they would fill an executor's heap
+    # the JVM makes no strings of the texts
     plan = found._jdf.queryExecution().executedPlan().toString().lower()
     assert "text" in plan and not any(x in plan for x in ("regexp", "lower(", "trim(", "concat("))
 

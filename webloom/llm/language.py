@@ -11,8 +11,7 @@ distance to the smaller language name.
 
 Three code points fit into 63 bits, so n-grams are counted exactly as numbers in numpy,
 and a batch never makes a Python object per n-gram. Lower case and blanks come from a
-table of code points, in pieces of ``SPAN`` bytes, so the JVM makes no strings for them:
-those would fill its heap.
+table of code points, in pieces of ``SPAN`` bytes, so the JVM makes no strings for them.
 
 Lower case is by single code points, as in SQL: there is no final sigma, and the capital
 I with a dot is an i. Letters are those of this Python's Unicode.
@@ -59,8 +58,8 @@ END = 0x40000
 @cache
 def _letters() -> np.ndarray:
     """The lower case of each code point under ``END``, or a blank where that is no letter; one blank more."""
-    low = [chr(i).lower()[0] for i in range(END)]
-    return np.array([ord(x) if unicodedata.category(x)[0] == "L" else 32 for x in low] + [32], np.int64)
+    low = (chr(i).lower()[0] for i in range(END))
+    return np.append(np.fromiter((ord(x) if unicodedata.category(x)[0] == "L" else 32 for x in low), np.int64, END), 32)
 
 
 def letters(text: bytes) -> Iterator[np.ndarray]:
